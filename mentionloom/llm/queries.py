@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mentionloom.llm import frequency, topn
+from mentionloom.llm import frequency, leakage, residue, topn
 from mentionloom.session import table
 
 
@@ -19,8 +19,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return frequency.term_frequencies(table(spark, d, "cnn_candidates"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
