@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mentionloom.llm import frequency, leakage, residue, topn
+from mentionloom.llm import encode, frequency, leakage, residue, sentences, topn
 from mentionloom.session import table
 
 
@@ -15,10 +15,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select("candidate_id", "rank_no")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "passages"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return frequency.term_frequencies(table(spark, d, "cnn_candidates"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_texts(table(spark, d, "documents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -28,7 +36,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
