@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mentionloom.llm import encode, frequency, leakage, residue, sentences, topn
-from mentionloom.session import table
+from mentionloom.llm import encode, frequency, leakage, overlap, residue, sentences, topn
+from mentionloom.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,6 +23,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return frequency.term_frequencies(table(spark, d, "cnn_candidates"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.split_overlaps(table(spark, d, "articles"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    articles = table(spark, d, "articles")
+    return overlap.overlap_report(articles, cut(overlap.split_overlaps(articles)))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"))
 
@@ -36,7 +45,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
