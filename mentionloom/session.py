@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def settle(spark: SparkSession) -> SparkSession:
     """Settings without which results are wrong: in Spark 4.1 a union may claim a partitioning that only one of its sides has, and a later grouping then skips the shuffle it needs."""
-    if spark.conf.get("spark.sql.unionOutputPartitioning") != "false":
+    if spark.conf.get("spark.sql.unionOutputPartitioning", "false") != "false":
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
 
