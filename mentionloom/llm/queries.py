@@ -55,4 +55,15 @@ def oracle_sql() -> dict[str, str]:
                           FROM cnn_candidates WHERE score IS NOT NULL AND NOT isnan(score) AND identifier IS NOT NULL GROUP BY candidate_id),
                  ranked AS (SELECT candidate_id, row_number() OVER (PARTITION BY pmc_id, identifier ORDER BY score DESC, off, candidate_id) AS r FROM once)
             SELECT candidate_id, CAST(r AS INTEGER) AS rank_no FROM ranked WHERE r <= 3""",
+        # words without look-alikes, marks and entities: nearly equal texts are far over the threshold and others far under it
+        "p7_found": r"""
+            WITH a AS (SELECT article_row, coalesce(split = 'train', FALSE) AS train, ltrim(regexp_extract(pmc_id, '[0-9]{4,}'), '0') AS num, full_text FROM articles),
+                 t AS (SELECT article_row, train, string_agg(x.text, ' ' ORDER BY i) AS txt FROM (SELECT article_row, train, i, full_text[i+1] AS x FROM a, unnest(range(len(full_text))) u(i)) GROUP BY ALL),
+                 w AS (SELECT article_row, train, regexp_extract_all(lower(regexp_replace(txt, '</?[A-Za-z][^<>]{0,200}>', '', 'g')), '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{N}]+') AS w FROM t),
+                 g AS (SELECT article_row, train, len(w) AS n, i, array_to_string(w[i+1:i+8], ' ') AS gram FROM w, unnest(range(len(w) - 7)) u(i)),
+                 h AS (SELECT x.article_row AS o, y.article_row AS t, x.n AS no, y.n AS nt, x.i AS io, y.i AS it FROM g x JOIN g y ON x.gram = y.gram AND NOT x.train AND y.train),
+                 co AS (SELECT o, t, count(DISTINCT p) / any_value(no) AS s FROM (SELECT DISTINCT o, t, no, unnest(range(io, io + 8)) AS p FROM h) GROUP BY o, t),
+                 ct AS (SELECT o, t, count(DISTINCT p) / any_value(nt) AS s FROM (SELECT DISTINCT o, t, nt, unnest(range(it, it + 8)) AS p FROM h) GROUP BY o, t),
+                 f AS (SELECT co.o, co.t FROM co JOIN ct ON ct.o = co.o AND ct.t = co.t WHERE least(co.s, ct.s) >= 0.65 UNION SELECT x.article_row, y.article_row FROM a x JOIN a y ON x.num = y.num AND x.num <> '' AND NOT x.train AND y.train)
+            SELECT DISTINCT least(o, t) AS article_lo, greatest(o, t) AS article_hi FROM f""",
     }
