@@ -348,3 +348,14 @@ def test_stream(spark, tmp_path):
         q = ingest.stream_records(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
         q.awaitTermination()
     assert [(r["child"], r["val"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("entity", "HP:1")]
+
+
+def test_union_of_sides_with_different_partitioning(spark):
+    from pyspark.sql import functions as F
+
+    from mentionloom.session import settle
+
+    settle(spark)
+    left = spark.range(200).select((F.col("id") % 7).cast("string").alias("a"), F.col("id").cast("string").alias("v")).groupBy("a").agg(F.collect_set("v").alias("v")).select("a", F.explode("v").alias("v"))
+    right = spark.range(200).select((F.col("id") % 7).cast("string").alias("a"), F.col("id").cast("string").alias("v")).groupBy("a", "v").count().select("a", "v")
+    assert left.unionByName(right).groupBy("a", "v").count().filter("count <> 2").count() == 0
