@@ -160,7 +160,7 @@ def predict(spark, a):
     names = ontology.admissible(ontology.aliases(terms, within=ontology.descendants(terms, a.root)))
     stats = gazetteer.surface_stats(train.entities, train.passages, tx.normalize_surface)
     table = gazetteer.alias_table(stats, gazetteer.most_common_id(train.entities, tx.normalize_surface), names, ontology.resolve(names, ontology.id_frequency(train.entities, terms)))
-    entities = gazetteer.extract(docs.passages, table, root=a.root)
+    entities = gazetteer.extract(docs.passages, table, root=a.root, expansions=gazetteer.expansions(train.entities, names, tx.normalize_surface))
     values = structure.by_proximity(entities, docs.passages, docs.anchors, docs.patients)
     if a.propagate_groups:
         values = structure.propagate_groups(values, entities, docs.passages, docs.anchors, docs.patients)

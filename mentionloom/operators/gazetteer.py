@@ -109,16 +109,40 @@ def alias_table(stats: DataFrame, common: DataFrame, ontology_aliases: DataFrame
     return rows.select("alias", F.coalesce("only", "usual", "named").alias("identifier"), F.get(source, F.col("rank")).alias("source")).filter("identifier is not null")
 
 
-def extract(passages: DataFrame, alias_rows: DataFrame, fold: Callable[[str], str] = fold_same, root: str | None = None) -> DataFrame:
-    """Mentions of (alias, identifier) in the passages, with note NO where a cue before or after negates them."""
-    hits = occurrences(passages, alias_rows, fold).join(alias_rows.select("alias", "identifier"), "alias")
+def _expanded(hits: DataFrame, expansions: DataFrame) -> DataFrame:
+    """Keys of abbreviation hits in capitals that stand in brackets right after a long name of one of their ids."""
+    long = expansions.select("identifier", F.regexp_replace("name", "[-/]", " ").alias("name")).filter(F.length("name") >= 5)
+    prefix = F.regexp_replace(tx.normalize_ascii(F.col("prefix")), "[-/]", " ")
+    short = hits.filter((F.col("source") == "train-abbreviation") & tx.is_uppercase_abbreviation(F.col("said"))).withColumn("before", prefix).filter(F.col("before").endswith("("))
+    bare = F.rtrim(F.expr("substring(before, 1, length(before) - 1)"))
+    parts = short.select("pmc_id", "p_idx", "start", "alias", bare.alias("before"), F.explode(F.split("identifier", ";")).alias("unit"))
+    return parts.join(long.withColumnRenamed("identifier", "unit"), "unit").filter(F.col("before").endswith(F.col("name"))).select("pmc_id", "p_idx", "start", "alias").distinct()
+
+
+def extract(passages: DataFrame, alias_rows: DataFrame, fold: Callable[[str], str] = fold_same, root: str | None = None, expansions: DataFrame | None = None) -> DataFrame:
+    """Mentions of (alias, identifier) in the passages, with note NO where a cue before or after negates them.
+
+    With ``expansions`` (identifier, name: normalised names and surfaces of each id) aliases of source ``train-abbreviation``
+    count only in capitals and where the article spells them out: ``long name (ABC``.
+    """
+    columns = ["alias", "identifier", *(["source"] if "source" in alias_rows.columns else [])]
+    hits = occurrences(passages, alias_rows, fold).join(alias_rows.select(*columns), "alias")
     if root is not None:
         hits = hits.filter(F.col("identifier") != root)
     at = hits.join(passages.select("pmc_id", "p_idx", "p_off", F.col("text").alias("p_text")), ["pmc_id", "p_idx"])
     start, end = F.col("start"), F.col("start") + F.length("alias")
     text = F.col("p_text")
-    prefix = tx.slice_text(text, tx.sentence_start(text, start), start)
+    at = at.withColumn("said", tx.slice_text(text, start, end)).withColumn("prefix", tx.slice_text(text, tx.sentence_start(text, start), start))
+    if expansions is not None and "source" in columns:
+        told = _expanded(at, expansions).withColumn("_told", F.lit(True))
+        at = at.join(told, ["pmc_id", "p_idx", "start", "alias"], "left").filter((F.col("source") != "train-abbreviation") | F.col("_told"))
     suffix = tx.slice_text(text, end, tx.sentence_end(text, end))
-    note = F.when(prefix.rlike(tx.NEGATION_BEFORE) | suffix.rlike(tx.NEGATION_AFTER), "NO")
-    rows = at.select("pmc_id", "identifier", F.lit("Phenotype").alias("type"), (F.col("p_off") + start).alias("offset"), F.length("alias").alias("length"), tx.slice_text(text, start, end).alias("text"), note.alias("note"))
+    note = F.when(F.col("prefix").rlike(tx.NEGATION_BEFORE) | suffix.rlike(tx.NEGATION_AFTER), "NO")
+    rows = at.select("pmc_id", "identifier", F.lit("Phenotype").alias("type"), (F.col("p_off") + start).alias("offset"), F.length("alias").alias("length"), F.col("said").alias("text"), note.alias("note"))
     return es.ordered(rows.dropDuplicates(es.KEY))
+
+
+def expansions(entities: DataFrame, ontology_aliases: DataFrame, normalize: Callable[[Column], Column]) -> DataFrame:
+    """(identifier, name): the normalised names of each term and the surfaces that were annotated with it positively."""
+    seen = entities.filter(tx.is_positive(F.col("note")) & F.col("text").isNotNull()).select(F.explode(F.split("identifier", ";")).alias("identifier"), normalize(F.col("text")).alias("name"))
+    return ontology_aliases.select("identifier", F.col("alias").alias("name")).unionByName(seen).distinct()

@@ -286,6 +286,13 @@ def gazetteer_extract(t: Tables) -> DataFrame:
     return _ints(gazetteer.extract(t.passages, t.dictionary, gazetteer.lower_same).select(*_OUT), "e_ord")
 
 
+def gazetteer_trained(t: Tables) -> DataFrame:
+    names = ontology.admissible(t.aliases)
+    table_ = gazetteer.alias_table(t.surfaces, gazetteer.most_common_id(t.entities, tx.normalize_ascii), names, t.dictionary)
+    rows = gazetteer.extract(t.passages, table_, gazetteer.lower_same, expansions=gazetteer.expansions(t.entities, names, tx.normalize_ascii))
+    return _ints(rows.select(*_OUT), "e_ord")
+
+
 def surface_stats(t: Tables) -> DataFrame:
     return _rounded(_ints(t.surfaces, "positive", "negative", "uppercase_positive", "occurrences"))
 
@@ -308,7 +315,7 @@ def renested_articles(t: Tables) -> DataFrame:
 
 
 _QUERIES = [
-    passages, patient_mentions, offset_to_passage, gazetteer_extract, merge_entities, subtract_entities, select_entities, vote_entities, nested_entities, overlap_free_candidates,
+    passages, patient_mentions, offset_to_passage, gazetteer_extract, gazetteer_trained, merge_entities, subtract_entities, select_entities, vote_entities, nested_entities, overlap_free_candidates,
     surface_stats, most_common_id, alias_priority, surface_precision, surface_precision_loo, cnn_additions, cnn_fuse, judge_gate, sentence_bounds, negation_flags, proximity_association,
     structural_patients, structure_filter, group_propagation, clip_associations, fuse_patient_count, vote_associations, augment_associations, stabilize_associations, stabilize_structured,
     evaluate_mention, evaluate_document, evaluate_association, evaluate_score, validate_submission, abbreviation_candidates, ontology_descendants, canonical_ids, resolve_alias, renested_articles,

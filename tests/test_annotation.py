@@ -359,3 +359,26 @@ def test_union_of_sides_with_different_partitioning(spark):
     left = spark.range(200).select((F.col("id") % 7).cast("string").alias("a"), F.col("id").cast("string").alias("v")).groupBy("a").agg(F.collect_set("v").alias("v")).select("a", F.explode("v").alias("v"))
     right = spark.range(200).select((F.col("id") % 7).cast("string").alias("a"), F.col("id").cast("string").alias("v")).groupBy("a", "v").count().select("a", "v")
     assert left.unionByName(right).groupBy("a", "v").count().filter("count <> 2").count() == 0
+
+
+def test_contexts(spark):
+    from mentionloom.operators import contexts
+
+    t = Long(spark, [article(entities=[ATAXIA, LATE, entity("HP:2", 900, "x")])])
+    shown = {r["e_ord"]: (r["section"], r["context"]) for r in contexts.marked_contexts(t.entities, t.passages).collect()}
+    assert shown[0][0] == "CASE" and "had [[ataxia]]. P2" in shown[0][1] and shown[2] == ("UNKNOWN", "x")
+    near = contexts.patient_contexts(t.anchors, t.passages, before=5, after=4).orderBy("patient_ord").collect()
+    assert [r["context"] for r in near] == ["Patient 1 had", " and P2 had"]
+    ranked = {(r["patient_id"], r["value"]): r["e_ord"] for r in contexts.nearest_occurrences(t.entities, t.anchors, t.patients, 1).collect()}
+    assert ranked == {("P1", "HP:2"): 0, ("P2", "HP:2"): 0, ("P1", "HP:4"): 1, ("P2", "HP:4"): 1, ("P1", "HP:5"): 1, ("P2", "HP:5"): 1}
+    terms = spark.createDataFrame([("HP:4", "Late gait")], "identifier string, name string")
+    assert {r["identifier"]: r["names"] for r in contexts.display_names(t.entities, terms).collect()} == {"HP:2": "HP:2", "HP:4;HP:5": "Late gait; HP:5"}
+
+
+def test_trained_abbreviations_need_their_long_form(spark):
+    text = "Low muscle tone (LMT) was seen. LMT grew. Then (lmt) and other (LMT)."
+    t = Long(spark, [article(text=text)])
+    rows = spark.createDataFrame([("lmt", "HP:1", "train-abbreviation")], "alias string, identifier string, source string")
+    names = spark.createDataFrame([("HP:1", "low muscle-tone"), ("HP:1", "low")], "identifier string, name string")
+    assert mentions(gazetteer.extract(t.passages, rows, expansions=names)) == [("HP:1", 17, 3, None)]
+    assert len(mentions(gazetteer.extract(t.passages, rows))) == 4
