@@ -43,8 +43,8 @@ def surface_precision(counts: DataFrame, min_count: int = 1) -> DataFrame:
 
 def surface_precision_left_out(counts: DataFrame, min_count: int = 1) -> DataFrame:
     """(pmc_id, surface, precision, total) from all other articles: totals less the article's own counts, no rebuild per article."""
-    w = Window.partitionBy("surface")
-    others = counts.select("pmc_id", "surface", (F.sum("tp").over(w) - F.col("tp")).alias("tp"), (F.sum("total").over(w) - F.col("total")).alias("total")).filter(F.col("total") >= F.greatest(F.lit(min_count), F.lit(1)))
+    every = counts.groupBy("surface").agg(F.sum("tp").alias("_tp"), F.sum("total").alias("_n"))
+    others = counts.join(every, "surface").select("pmc_id", "surface", (F.col("_tp") - F.col("tp")).alias("tp"), (F.col("_n") - F.col("total")).alias("total")).filter(F.col("total") >= max(min_count, 1))
     return others.select("pmc_id", "surface", (F.col("tp") / F.col("total")).alias("precision"), "total")
 
 
