@@ -9,16 +9,18 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mentionloom.functions import text as tx
 from mentionloom.operators import entity_sets as es
 from mentionloom.operators import structure
+from mentionloom.operators.batching import fixed_batches
 
 CACHE = "key string, model string, reply string"
 
@@ -204,3 +206,44 @@ def candidate_context(rows: DataFrame, passages: DataFrame, most: int = 360) ->
     sentence = tx.slice_text(F.col("p_text"), tx.sentence_start(F.col("p_text"), start), tx.sentence_end(F.col("p_text"), start + F.col("length")))
     context = F.substring(F.regexp_replace(F.trim(sentence), r"(?U)\s+", " "), 1, most)
     return at.withColumn("context", F.coalesce(context, F.lit(""))).drop("p_idx", "p_off", "p_text")
+
+
+def value_batches(entities: DataFrame, size: int = 30) -> DataFrame:
+    """(pmc_id, value, v_ord, batch, index): the distinct single values of an article's positive mentions in order of first mention, in batches."""
+    e = entities.filter(tx.is_positive(F.col("note"))).select("pmc_id", "e_ord", F.posexplode(structure.single_values(F.col("identifier"), F.col("text"))).alias("u", "value"))
+    first = e.groupBy("pmc_id", "value").agg(F.min(F.struct("e_ord", "u")).alias("o"))
+    ordered = first.withColumn("v_ord", F.row_number().over(Window.partitionBy("pmc_id").orderBy("o")) - 1).drop("o")
+    return fixed_batches(ordered, "pmc_id", ["v_ord"], size)
+
+
+def value_requests(batches: DataFrame, occurrences: DataFrame, contexts: DataFrame, patients: DataFrame) -> DataFrame:
+    """One request per (pmc_id, patient_id, batch): each value with the contexts of its occurrences nearest to the patient.
+
+    ``occurrences`` is (pmc_id, patient_id, value, e_ord, rank_no), ``contexts`` (pmc_id, e_ord, section, context).
+    """
+    shown = occurrences.join(contexts, ["pmc_id", "e_ord"]).groupBy("pmc_id", "patient_id", "value").agg(F.array_sort(F.collect_list(F.struct("rank_no", "section", "context"))).alias("occurrences"))
+    rows = batches.join(patients.select("pmc_id", "patient_id").distinct(), "pmc_id").join(shown, ["pmc_id", "patient_id", "value"], "left")
+    per = rows.groupBy("pmc_id", "patient_id", "batch").agg(F.array_sort(F.collect_list(F.struct("index", "value", "occurrences"))).alias("values"))
+    task = F.lit("Name the values that the article observes in the patient. Answer {\"associated_indices\": [], \"uncertain_indices\": []}.")
+    return with_key(per, F.to_json(F.struct(task.alias("task"), "pmc_id", "patient_id", "values")))
+
+
+def chosen_values(batches: DataFrame, answered: DataFrame, include_uncertain: bool = False) -> DataFrame:
+    """(pmc_id, patient_id, v_ord, value) of the values that the replies accept, in the article's order."""
+    keys = ["pmc_id", "patient_id", "batch"]
+    chosen = reply_indices(answered, "associated_indices", keys)
+    if include_uncertain:
+        chosen = chosen.unionByName(reply_indices(answered, "uncertain_indices", keys)).distinct()
+    rows = batches.join(chosen, ["pmc_id", "batch", "index"]).select("pmc_id", "patient_id", "value", F.col("v_ord").alias("o"))
+    return structure.first_seen(rows, ["o"])
+
+
+def consensus(*selections: DataFrame) -> DataFrame:
+    """Union of (pmc_id, e_ord, patient_id) selections that were filtered each in its own way."""
+    return reduce(DataFrame.unionByName, [s.select("pmc_id", "e_ord", "patient_id") for s in selections]).distinct()
+
+
+def values_of(selection: DataFrame, entities: DataFrame) -> DataFrame:
+    """(pmc_id, patient_id, v_ord, value) of selected mentions in order of offset."""
+    rows = selection.join(entities, ["pmc_id", "e_ord"]).withColumn("value", structure.whole_value(F.col("identifier"), F.col("text")))
+    return structure.first_seen(rows, ["offset", "e_ord"])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionloom.functions import text as tx
-from mentionloom.operators import batching, linking, model_io, structure
+from mentionloom.operators import batching, contexts, linking, model_io, structure
 from mentionloom.plans import annotation_sql as sql
 from mentionloom.plans.annotation import Tables, _ints, _rounded
 
@@ -110,12 +110,38 @@ def model_discover_replay(t: Tables) -> DataFrame:
     return _ints(found.select("pmc_id", "e_ord", "identifier", "offset", "length", "text"), "e_ord")
 
 
+def _value_requests(t: Tables) -> tuple[DataFrame, DataFrame]:
+    batches = model_io.value_batches(t.entities, BATCH)
+    near = contexts.nearest_occurrences(t.entities, t.anchors, t.patients)
+    return batches, model_io.value_requests(batches, near, contexts.marked_contexts(t.entities, t.passages), t.patients)
+
+
+def value_batches(t: Tables) -> DataFrame:
+    return _ints(model_io.value_batches(t.entities, BATCH), "v_ord", "batch", "index")
+
+
+def model_values_replay(t: Tables) -> DataFrame:
+    """Replies accept the values of the gold associations; what comes back are those that a mention of the article holds."""
+    batches, requests = _value_requests(t)
+    right = batches.join(t.associations.select("pmc_id", "patient_id", "value").distinct(), ["pmc_id", "value"]).groupBy("pmc_id", "patient_id", "batch").agg(F.array_sort(F.collect_list("index")).alias("yes"))
+    reply = F.concat(F.lit('{"associated_indices": '), F.to_json("yes"), F.lit('} I am sure.'))
+    cache = requests.join(right, ["pmc_id", "patient_id", "batch"]).select("key", F.lit("model").alias("model"), reply.alias("reply"))
+    return _ints(model_io.chosen_values(batches, model_io.run_requests(requests, cache, _NoModel)), "v_ord")
+
+
+def consensus_associations(t: Tables) -> DataFrame:
+    """Mentions that either of two window settings supports for a patient, as values."""
+    near = structure.structural_patients(t.entities, t.passages, t.anchors, previous_distance=3000, next_distance=500)
+    joint = structure.structural_patients(t.entities, t.passages, t.anchors, previous_distance=3000, next_distance=300)
+    return _ints(model_io.values_of(model_io.consensus(near, joint), t.entities), "v_ord")
+
+
 def fuzzy_link(t: Tables) -> DataFrame:
     unmapped = t.entities.filter("identifier = '-1'").select(tx.normalize_ascii(F.col("text")).alias("surface"))
     return _rounded(linking.fuzzy_link(unmapped, t.dictionary))
 
 
-_QUERIES = [candidate_batches, passage_chunks, calibration_topk, model_requests, model_judge_replay, model_associate_replay, model_associate_structured, model_discover_replay, fuzzy_link]
+_QUERIES = [candidate_batches, passage_chunks, calibration_topk, model_requests, model_judge_replay, model_associate_replay, model_associate_structured, model_discover_replay, value_batches, model_values_replay, consensus_associations, fuzzy_link]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -147,6 +173,9 @@ def oracle_sql() -> dict[str, str]:
             w=f"SELECT pmc_id, p_idx, r, 0 AS chunk, s AS used FROM n WHERE r = 1 UNION ALL SELECT n.pmc_id, n.p_idx, n.r, CASE WHEN w.used + n.s > {CHUNK} THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.used + n.s > {CHUNK} THEN n.s ELSE w.used + n.s END FROM w JOIN n ON n.pmc_id = w.pmc_id AND n.r = w.r + 1"),
         "calibration_topk": sql._with("adds psg docs ann ent", f"SELECT pmc_id, CAST(batch AS BIGINT) AS batch, CAST(accepted AS BIGINT) AS accepted, rank_no, tie FROM (SELECT *, row_number() OVER (PARTITION BY pmc_id, batch, accepted ORDER BY list_contains(ss, surface) DESC, list_has_any(ii, string_split(identifier, ';')) DESC, list_contains(cc, section) DESC, tie DESC) AS rank_no FROM t CROSS JOIN (SELECT surface, identifier, section, accepted, tie FROM ex)) WHERE rank_no <= {PER_LABEL}",
             **b, **e, t="SELECT pmc_id, batch, list(DISTINCT surface) AS ss, list(DISTINCT section) AS cc, flatten(list(string_split(identifier, ';'))) AS ii FROM bt GROUP BY pmc_id, batch"),
+        "value_batches": sql._with("ent", f"SELECT pmc_id, value, o - 1 AS v_ord, (o - 1) // {BATCH} AS batch, (o - 1) % {BATCH} AS index FROM vo", vo=sql._GROUP_PARTS["vo"]),
+        "model_values_replay": sql._with("ent aso", "SELECT pmc_id, patient_id, row_number() OVER (PARTITION BY pmc_id, patient_id ORDER BY o) - 1 AS v_ord, value FROM (SELECT DISTINCT a.pmc_id, a.patient_id, a.value, v.o FROM aso a JOIN vo v ON v.pmc_id = a.pmc_id AND v.value = a.value JOIN ids i ON i.pmc_id = a.pmc_id AND i.patient_id = a.patient_id)", vo=sql._GROUP_PARTS["vo"], pat=sql._PARTS["pat"], ids=sql._PARTS["ids"]),
+        "consensus_associations": sql._with("snt aloc ent", sql._seen("(SELECT w.pmc_id, w.patient_id, CASE WHEN identifier = '-1' THEN coalesce(text, '') ELSE identifier END AS value, off, e.e_ord FROM w JOIN ent e ON e.pmc_id = w.pmc_id AND e.e_ord = w.e_ord)", "off e_ord"), w=sql._PARTS["strp"].replace("@P@", "3000").replace("@N@", "500")),
         "model_judge_replay": sql._with("adds psg docs ann", 'SELECT pmc_id, c_ord, identifier, off AS "offset", len AS length FROM gold WHERE g', **b, **g),
         "model_associate_replay": sql._with("adds psg docs ann pat", sql._seen("(SELECT g.pmc_id, f.patient_id, CASE WHEN identifier = '-1' THEN coalesce(text, '') ELSE identifier END AS value, off, a_ord FROM gold g JOIN f ON f.pmc_id = g.pmc_id WHERE g)", "off a_ord"), **b, **g, f="SELECT pmc_id, arg_min(patient_id, patient_ord) AS patient_id FROM pat GROUP BY pmc_id"),
     }
