@@ -68,3 +68,23 @@ def fuzzy_link(surfaces: DataFrame, alias_ids: DataFrame, cutoff: float = 78.0,
     scored = near.withColumn("score", F.when(F.col("surface") == F.col("alias"), 100.0).otherwise(score("surface", "alias") - F.when(F.length("alias") < 5, 8.0).otherwise(0.0)))
     best = scored.filter(F.col("score") >= cutoff).withColumn("_r", F.row_number().over(Window.partitionBy("surface").orderBy(F.desc("score"), "alias"))).filter("_r = 1")
     return best.join(right, "alias").select("surface", "alias", "identifier", "score")
+
+
+def finding_identifiers(findings: DataFrame, alias_rows: DataFrame, resolved: DataFrame, majority: DataFrame, supplied_cutoff: float = 72.0, fuzzy_cutoff: float = 88.0) -> DataFrame:
+    """``findings`` (finding_id, text, canonical, supplied; text and canonical normalised) with ``identifier`` and ``how``.
+
+    A supplied id counts if one of its aliases is like the text or the canonical name; else the majority id or exact alias of
+    the text, then of the canonical name; else the best fuzzy link of either. ``alias_rows`` is (alias, identifier),
+    ``resolved`` one identifier per alias, ``majority`` (surface, identifier).
+    """
+    said = findings.select("finding_id", "supplied", F.posexplode(F.array("text", "canonical")).alias("i", "surface")).filter("surface <> ''")
+    known = said.filter("supplied is not null").join(alias_rows.withColumnRenamed("identifier", "supplied"), "supplied")
+    a = known.filter(score("surface", "alias") >= supplied_cutoff).groupBy("finding_id").agg(F.first("supplied").alias("by_id"))
+    exact = said.join(majority.select("surface", F.col("identifier").alias("usual")), "surface", "left").join(resolved.select(F.col("alias").alias("surface"), F.col("identifier").alias("named")), "surface", "left")
+    b = exact.filter("coalesce(usual, named) is not null").groupBy("finding_id").agg(F.min_by(F.coalesce("usual", "named"), "i").alias("by_name"))
+    rest = said.join(a.select("finding_id").unionByName(b.select("finding_id")).distinct(), "finding_id", "left_anti")
+    near = fuzzy_link(rest.select("surface"), resolved, fuzzy_cutoff)
+    c = rest.join(near.select("surface", F.col("identifier").alias("linked"), "score"), "surface").groupBy("finding_id").agg(F.max_by("linked", F.struct("score", F.col("linked"))).alias("by_likeness"))
+    rows = findings.join(a, "finding_id", "left").join(b, "finding_id", "left").join(c, "finding_id", "left")
+    how = F.when(F.col("by_id").isNotNull(), "supplied").when(F.col("by_name").isNotNull(), "exact").when(F.col("by_likeness").isNotNull(), "fuzzy")
+    return rows.select(*findings.columns, F.coalesce("by_id", "by_name", "by_likeness").alias("identifier"), how.alias("how"))

@@ -141,7 +141,14 @@ def fuzzy_link(t: Tables) -> DataFrame:
     return _rounded(linking.fuzzy_link(unmapped, t.dictionary))
 
 
-_QUERIES = [candidate_batches, passage_chunks, calibration_topk, model_requests, model_judge_replay, model_associate_replay, model_associate_structured, model_discover_replay, value_batches, model_values_replay, consensus_associations, fuzzy_link]
+def finding_ids(t: Tables) -> DataFrame:
+    """The annotators' findings with the single id that they give, linked anew."""
+    text = tx.normalize_ascii(F.col("text"))
+    rows = t.annotations.filter("annotator = 'dict' AND text IS NOT NULL").select(F.col("e_ord").alias("finding_id"), text.alias("text"), F.lit("").alias("canonical"), F.when(F.col("identifier").rlike("^HP:[0-9]+$"), F.col("identifier")).alias("supplied"))
+    return linking.finding_identifiers(rows, t.aliases, t.dictionary, contexts.majority_ids(t.entities, tx.normalize_ascii))
+
+
+_QUERIES = [candidate_batches, passage_chunks, calibration_topk, model_requests, model_judge_replay, model_associate_replay, model_associate_structured, model_discover_replay, value_batches, model_values_replay, consensus_associations, fuzzy_link, finding_ids]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

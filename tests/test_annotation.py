@@ -382,3 +382,29 @@ def test_trained_abbreviations_need_their_long_form(spark):
     names = spark.createDataFrame([("HP:1", "low muscle-tone"), ("HP:1", "low")], "identifier string, name string")
     assert mentions(gazetteer.extract(t.passages, rows, expansions=names)) == [("HP:1", 17, 3, None)]
     assert len(mentions(gazetteer.extract(t.passages, rows))) == 4
+
+
+def test_findings_get_identifiers(spark):
+    rows = [(1, "muscle weaknes", "", "HP:1"), (2, "muscle weaknes", "", "HP:2"), (3, "ataxia", "", "HP:1"), (4, "zzz", "ataxia", None), (5, "zzz", "", "HP:9"), (6, "usual words", "", None), (7, "", "", None)]
+    f = spark.createDataFrame(rows, "finding_id int, text string, canonical string, supplied string")
+    aliases = spark.createDataFrame([("muscle weakness", "HP:1"), ("ataxia", "HP:2")], "alias string, identifier string")
+    majority = spark.createDataFrame([("usual words", "HP:7")], "surface string, identifier string")
+    got = {r["finding_id"]: (r["identifier"], r["how"]) for r in linking.finding_identifiers(f, aliases, aliases, majority).collect()}
+    assert got == {1: ("HP:1", "supplied"), 2: ("HP:1", "fuzzy"), 3: ("HP:2", "exact"), 4: ("HP:2", "exact"), 5: (None, None), 6: ("HP:7", "exact"), 7: (None, None)}
+
+
+def test_value_requests(spark):
+    from mentionloom.operators import contexts
+
+    t = Long(spark, [article(entities=[ATAXIA, LATE, SEIZURE])])
+    batches = model_io.value_batches(t.entities, 2)
+    assert {(r["value"], r["batch"], r["index"]) for r in batches.collect()} == {("HP:2", 0, 0), ("HP:4", 0, 1), ("HP:5", 1, 0)}
+    near = contexts.nearest_occurrences(t.entities, t.anchors, t.patients)
+    requests = model_io.value_requests(batches, near, contexts.marked_contexts(t.entities, t.passages), t.patients)
+    assert requests.count() == 4
+    from pyspark.sql import functions as F
+
+    answered = requests.withColumn("reply", F.when(F.col("patient_id") == "P1", '```json\n{"associated_indices": ["1", 0, 99, "x"], "uncertain_indices": [0]}\n```').otherwise("no idea"))
+    assert values(model_io.chosen_values(batches, answered)) == {"P1": ["HP:2", "HP:4", "HP:5"]}
+    both = model_io.consensus(structure.structural_patients(t.entities, t.passages, t.anchors, next_distance=0), structure.structural_patients(t.entities, t.passages, t.anchors))
+    assert values(model_io.values_of(both, t.entities)) == {"P1": ["HP:4;HP:5"], "P2": ["HP:2", "HP:4;HP:5"]}
