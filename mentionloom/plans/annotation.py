@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from mentionloom.functions import text as tx
 from mentionloom.operators import abbreviations, associations, candidates, entity_sets, evaluation, gazetteer, ontology, structure, validation
 from mentionloom.plans import annotation_sql as sql
-from mentionloom.session import table
+from mentionloom.session import cut, table
 from mentionloom.sources import articles as src
 
 ANNOTATORS = ("ann1", "ann2", "ann3", "dict")
@@ -91,7 +91,8 @@ class Tables:
 
     @cached_property
     def additions(self) -> DataFrame:
-        return candidates.additions(self.entities, self.candidates.join(self.docs.select("pmc_id"), "pmc_id", "left_semi"), RULES, self.left_out, tx.normalize_ascii)
+        added = candidates.additions(self.entities, self.candidates.join(self.docs.select("pmc_id"), "pmc_id", "left_semi"), RULES, self.left_out, tx.normalize_ascii)
+        return cut(added)  # read several times
 
     @cached_property
     def fused(self) -> DataFrame:
@@ -111,7 +112,7 @@ class Tables:
 
     @cached_property
     def dictionary(self) -> DataFrame:
-        return ontology.resolve(ontology.admissible(self.aliases), ontology.id_frequency(self.entities, self.terms))
+        return cut(ontology.resolve(ontology.admissible(self.aliases), ontology.id_frequency(self.entities, self.terms)))  # read several times
 
 
 def _ints(df: DataFrame, *columns: str) -> DataFrame:
