@@ -112,7 +112,7 @@ def alias_table(stats: DataFrame, common: DataFrame, ontology_aliases: DataFrame
 def _expanded(hits: DataFrame, expansions: DataFrame) -> DataFrame:
     """Keys of abbreviation hits in capitals that stand in brackets right after a long name of one of their ids."""
     long = expansions.select("identifier", F.regexp_replace("name", "[-/]", " ").alias("name")).filter(F.length("name") >= 5)
-    prefix = F.regexp_replace(tx.normalize_ascii(F.col("prefix")), "[-/]", " ")
+    prefix = F.regexp_replace(tx.normalize_surface(F.col("prefix")), "[-/]", " ")
     short = hits.filter((F.col("source") == "train-abbreviation") & tx.is_uppercase_abbreviation(F.col("said"))).withColumn("before", prefix).filter(F.col("before").endswith("("))
     bare = F.rtrim(F.expr("substring(before, 1, length(before) - 1)"))
     parts = short.select("pmc_id", "p_idx", "start", "alias", bare.alias("before"), F.explode(F.split("identifier", ";")).alias("unit"))

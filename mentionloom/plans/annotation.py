@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionloom.functions import text as tx
@@ -25,10 +25,10 @@ _OUT = ["pmc_id", "e_ord", "identifier", "offset", "length", "text", "note"]
 
 
 class Tables:
-    """The long tables of one data folder."""
+    """The long tables of one data folder; surfaces, aliases and passages are compared in the given normal form."""
 
-    def __init__(self, spark: SparkSession, d: str) -> None:
-        self.spark, self.d = spark, d
+    def __init__(self, spark: SparkSession, d: str, normalize: Callable[[Column], Column] = tx.normalize_surface, fold: Callable[[str], str] = gazetteer.fold_same) -> None:
+        self.spark, self.d, self.normalize, self.fold = spark, d, normalize, fold
 
     @cached_property
     def docs(self) -> DataFrame:
@@ -83,15 +83,15 @@ class Tables:
 
     @cached_property
     def aliases(self) -> DataFrame:
-        return ontology.aliases(self.terms, tx.normalize_ascii)
+        return ontology.aliases(self.terms, self.normalize)
 
     @cached_property
     def left_out(self) -> DataFrame:
-        return candidates.surface_precision_left_out(candidates.surface_counts(self.candidates, self.entities, tx.normalize_ascii))
+        return candidates.surface_precision_left_out(candidates.surface_counts(self.candidates, self.entities, self.normalize))
 
     @cached_property
     def additions(self) -> DataFrame:
-        added = candidates.additions(self.entities, self.candidates.join(self.docs.select("pmc_id"), "pmc_id", "left_semi"), RULES, self.left_out, tx.normalize_ascii)
+        added = candidates.additions(self.entities, self.candidates.join(self.docs.select("pmc_id"), "pmc_id", "left_semi"), RULES, self.left_out, self.normalize)
         return cut(added)  # read several times
 
     @cached_property
@@ -108,7 +108,7 @@ class Tables:
 
     @cached_property
     def surfaces(self) -> DataFrame:
-        return gazetteer.surface_stats(self.entities, self.passages, tx.normalize_ascii, gazetteer.lower_same)
+        return gazetteer.surface_stats(self.entities, self.passages, self.normalize, self.fold)
 
     @cached_property
     def dictionary(self) -> DataFrame:
@@ -163,7 +163,7 @@ def overlap_free_candidates(t: Tables) -> DataFrame:
 
 
 def surface_precision(t: Tables) -> DataFrame:
-    return _rounded(candidates.surface_precision(candidates.surface_counts(t.candidates, t.entities, tx.normalize_ascii), 3))
+    return _rounded(candidates.surface_precision(candidates.surface_counts(t.candidates, t.entities, t.normalize), 3))
 
 
 def surface_precision_loo(t: Tables) -> DataFrame:
@@ -284,13 +284,13 @@ def resolve_alias(t: Tables) -> DataFrame:
 
 
 def gazetteer_extract(t: Tables) -> DataFrame:
-    return _ints(gazetteer.extract(t.passages, t.dictionary, gazetteer.lower_same).select(*_OUT), "e_ord")
+    return _ints(gazetteer.extract(t.passages, t.dictionary, t.fold).select(*_OUT), "e_ord")
 
 
 def gazetteer_trained(t: Tables) -> DataFrame:
     names = ontology.admissible(t.aliases)
-    table_ = gazetteer.alias_table(t.surfaces, gazetteer.most_common_id(t.entities, tx.normalize_ascii), names, t.dictionary)
-    rows = gazetteer.extract(t.passages, table_, gazetteer.lower_same, expansions=gazetteer.expansions(t.entities, names, tx.normalize_ascii))
+    table_ = gazetteer.alias_table(t.surfaces, gazetteer.most_common_id(t.entities, t.normalize), names, t.dictionary)
+    rows = gazetteer.extract(t.passages, table_, t.fold, expansions=gazetteer.expansions(t.entities, names, t.normalize))
     return _ints(rows.select(*_OUT), "e_ord")
 
 
@@ -299,11 +299,11 @@ def surface_stats(t: Tables) -> DataFrame:
 
 
 def most_common_id(t: Tables) -> DataFrame:
-    return gazetteer.most_common_id(t.entities, tx.normalize_ascii)
+    return gazetteer.most_common_id(t.entities, t.normalize)
 
 
 def alias_priority(t: Tables) -> DataFrame:
-    return gazetteer.alias_table(t.surfaces, gazetteer.most_common_id(t.entities, tx.normalize_ascii), ontology.admissible(t.aliases), t.dictionary)
+    return gazetteer.alias_table(t.surfaces, gazetteer.most_common_id(t.entities, t.normalize), ontology.admissible(t.aliases), t.dictionary)
 
 
 def abbreviation_candidates(t: Tables) -> DataFrame:
@@ -323,8 +323,20 @@ _QUERIES = [
 ]
 
 
+#: with SQL, which can't say NFKC and case folding: under their own names they compare the simple form that their SQL says, as ``..._nfkc`` the full one
+_SURFACES = [
+    gazetteer_extract, nested_entities, surface_stats, most_common_id, alias_priority, surface_precision, surface_precision_loo, cnn_additions, cnn_fuse, judge_gate, stabilize_associations, resolve_alias,
+]
+
+
+def registered(functions: list, with_sql: set[str], by_surface: list) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Queries without SQL in the full normal form; those with SQL in the simple one and, where surfaces matter, in the full one too."""
+    plain = {f.__name__: lambda spark, d, f=f: f(Tables(spark, d, tx.normalize_ascii, gazetteer.lower_same) if f.__name__ in with_sql else Tables(spark, d)) for f in functions}
+    return plain | {f"{f.__name__}_nfkc": lambda spark, d, f=f: f(Tables(spark, d)) for f in by_surface}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: lambda spark, d, f=f: f(Tables(spark, d)) for f in _QUERIES}
+    return registered(_QUERIES, set(oracle_sql()), _SURFACES)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionloom.functions import text as tx
 from mentionloom.operators import contexts
 from mentionloom.operators.entity_sets import locate
 from mentionloom.plans import annotation_sql as sql
-from mentionloom.plans.annotation import Tables, _ints
+from mentionloom.plans.annotation import Tables, _ints, registered
 
 
 def patient_contexts(t: Tables) -> DataFrame:
@@ -41,7 +40,7 @@ def passage_examples(t: Tables) -> DataFrame:
 
 
 def majority_ids(t: Tables) -> DataFrame:
-    return contexts.majority_ids(t.entities, tx.normalize_ascii)
+    return contexts.majority_ids(t.entities, t.normalize)
 
 
 def summary_counts(t: Tables) -> DataFrame:
@@ -52,7 +51,7 @@ _QUERIES = [patient_contexts, marked_contexts, display_names, nearest_occurrence
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: lambda spark, d, f=f: f(Tables(spark, d)) for f in _QUERIES}
+    return registered(_QUERIES, set(oracle_sql()), [majority_ids])
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mentionloom.functions import text as tx
 from mentionloom.operators import batching, contexts, linking, model_io, structure
 from mentionloom.plans import annotation_sql as sql
-from mentionloom.plans.annotation import Tables, _ints, _rounded
+from mentionloom.plans.annotation import Tables, _ints, _rounded, registered
 
 BATCH = 5
 PER_LABEL = 2
@@ -25,7 +25,7 @@ ACCEPTED = 0.7
 def _batches(t: Tables) -> DataFrame:
     held_out = t.docs.filter("split <> 'train'").select("pmc_id")
     rows = model_io.candidate_context(t.additions.join(held_out, "pmc_id", "left_semi").filter(tx.is_positive(F.col("note"))), t.passages)
-    rows = rows.withColumn("e_ord", F.col("a_ord")).withColumn("surface", tx.normalize_ascii(F.col("text"))).withColumn("section", F.coalesce("section", F.lit("UNKNOWN")))
+    rows = rows.withColumn("e_ord", F.col("a_ord")).withColumn("surface", t.normalize(F.col("text"))).withColumn("section", F.coalesce("section", F.lit("UNKNOWN")))
     return batching.fixed_batches(rows, "pmc_id", ["a_ord"], BATCH)
 
 
@@ -35,7 +35,7 @@ def _examples(t: Tables) -> DataFrame:
     rows = model_io.candidate_context(t.annotations.join(train, "pmc_id", "left_semi").filter(tx.is_positive(F.col("note")) & F.col("text").isNotNull()), t.passages)
     rows = rows.join(gold, ["pmc_id", "offset", "length", "identifier"], "left").withColumn("accepted", F.coalesce("g", F.lit(0))).withColumn("section", F.coalesce("section", F.lit("UNKNOWN")))
     tie = batching.tie_break(F.col("section"), F.col("text"), F.col("identifier"), F.col("pmc_id"), F.col("e_ord"), F.col("accepted"))
-    return rows.select("section", "identifier", "accepted", tx.normalize_ascii(F.col("text")).alias("surface"), tie.alias("tie"))
+    return rows.select("section", "identifier", "accepted", t.normalize(F.col("text")).alias("surface"), tie.alias("tie"))
 
 
 def _flagged(rows: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def model_discover_replay(t: Tables) -> DataFrame:
     at = own.join(t.passages.select("pmc_id", "p_idx", "p_off", "p_end"), "pmc_id").filter("p_off <= offset AND offset < p_end")
     items = F.expr("to_json(array_sort(collect_list(struct(p_idx AS passage_index, offset - p_off + 3 AS start, text))))")
     replies = at.groupBy("pmc_id").agg(F.concat(F.lit('{"entities": '), items, F.lit(', "note": "cut')).alias("reply"))
-    found = model_io.discovered_entities(replies, t.passages, t.dictionary, t.annotated, tx.normalize_ascii)
+    found = model_io.discovered_entities(replies, t.passages, t.dictionary, t.annotated, t.normalize)
     return _ints(found.select("pmc_id", "e_ord", "identifier", "offset", "length", "text"), "e_ord")
 
 
@@ -137,22 +137,22 @@ def consensus_associations(t: Tables) -> DataFrame:
 
 
 def fuzzy_link(t: Tables) -> DataFrame:
-    unmapped = t.entities.filter("identifier = '-1'").select(tx.normalize_ascii(F.col("text")).alias("surface"))
+    unmapped = t.entities.filter("identifier = '-1'").select(t.normalize(F.col("text")).alias("surface"))
     return _rounded(linking.fuzzy_link(unmapped, t.dictionary))
 
 
 def finding_ids(t: Tables) -> DataFrame:
     """The annotators' findings with the single id that they give, linked anew."""
-    text = tx.normalize_ascii(F.col("text"))
+    text = t.normalize(F.col("text"))
     rows = t.annotations.filter("annotator = 'dict' AND text IS NOT NULL").select(F.col("e_ord").alias("finding_id"), text.alias("text"), F.lit("").alias("canonical"), F.when(F.col("identifier").rlike("^HP:[0-9]+$"), F.col("identifier")).alias("supplied"))
-    return linking.finding_identifiers(rows, t.aliases, t.dictionary, contexts.majority_ids(t.entities, tx.normalize_ascii))
+    return linking.finding_identifiers(rows, t.aliases, t.dictionary, contexts.majority_ids(t.entities, t.normalize))
 
 
 _QUERIES = [candidate_batches, passage_chunks, calibration_topk, model_requests, model_judge_replay, model_associate_replay, model_associate_structured, model_discover_replay, value_batches, model_values_replay, consensus_associations, fuzzy_link, finding_ids]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: lambda spark, d, f=f: f(Tables(spark, d)) for f in _QUERIES}
+    return registered(_QUERIES, set(oracle_sql()), [candidate_batches, calibration_topk, model_judge_replay, model_associate_replay])
 
 
 _PLACED = "SELECT x.*, coalesce(p.section, 'UNKNOWN') AS section, p.p_idx, p.p_off, p.text AS p_text FROM {0} x LEFT JOIN psg p ON p.pmc_id = x.pmc_id AND p.p_off <= x.off AND x.off < p.p_end QUALIFY row_number() OVER (PARTITION BY x.pmc_id, x.{1} ORDER BY p.p_idx) = 1"
