@@ -77,14 +77,18 @@ def finding_identifiers(findings: DataFrame, alias_rows: DataFrame, resolved: Da
     the text, then of the canonical name; else the best fuzzy link of either. ``alias_rows`` is (alias, identifier),
     ``resolved`` one identifier per alias, ``majority`` (surface, identifier).
     """
-    said = findings.select("finding_id", "supplied", F.posexplode(F.array("text", "canonical")).alias("i", "surface")).filter("surface <> ''")
+    cols = ["text", "canonical", "supplied"]
+    keyed = findings.withColumn("_key", F.to_json(F.struct(*cols)))
+    values = cut(keyed.select("_key", *cols).distinct())  # each value once: the ratio is the costly part
+    said = values.select("_key", "supplied", F.posexplode(F.array("text", "canonical")).alias("i", "surface")).filter("surface <> ''")
     known = said.filter("supplied is not null").join(alias_rows.withColumnRenamed("identifier", "supplied"), "supplied")
-    a = known.filter(score("surface", "alias") >= supplied_cutoff).groupBy("finding_id").agg(F.first("supplied").alias("by_id"))
+    a = known.filter(score("surface", "alias") >= supplied_cutoff).groupBy("_key").agg(F.first("supplied").alias("by_id"))
     exact = said.join(majority.select("surface", F.col("identifier").alias("usual")), "surface", "left").join(resolved.select(F.col("alias").alias("surface"), F.col("identifier").alias("named")), "surface", "left")
-    b = exact.filter("coalesce(usual, named) is not null").groupBy("finding_id").agg(F.min_by(F.coalesce("usual", "named"), "i").alias("by_name"))
-    rest = said.join(a.select("finding_id").unionByName(b.select("finding_id")).distinct(), "finding_id", "left_anti")
+    b = exact.filter("coalesce(usual, named) is not null").groupBy("_key").agg(F.min_by(F.coalesce("usual", "named"), "i").alias("by_name"))
+    sure = cut(values.select("_key").join(a, "_key", "left").join(b, "_key", "left"))
+    rest = said.join(sure.filter("coalesce(by_id, by_name) is null"), "_key", "left_semi")
     near = fuzzy_link(rest.select("surface"), resolved, fuzzy_cutoff)
-    c = rest.join(near.select("surface", F.col("identifier").alias("linked"), "score"), "surface").groupBy("finding_id").agg(F.max_by("linked", F.struct("score", F.col("linked"))).alias("by_likeness"))
-    rows = findings.join(a, "finding_id", "left").join(b, "finding_id", "left").join(c, "finding_id", "left")
+    c = rest.join(near.select("surface", F.col("identifier").alias("linked"), "score"), "surface").groupBy("_key").agg(F.max_by("linked", F.struct("score", F.col("linked"))).alias("by_likeness"))
+    rows = keyed.join(sure, "_key", "left").join(c, "_key", "left")
     how = F.when(F.col("by_id").isNotNull(), "supplied").when(F.col("by_name").isNotNull(), "exact").when(F.col("by_likeness").isNotNull(), "fuzzy")
     return rows.select(*findings.columns, F.coalesce("by_id", "by_name", "by_likeness").alias("identifier"), how.alias("how"))

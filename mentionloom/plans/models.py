@@ -142,9 +142,9 @@ def fuzzy_link(t: Tables) -> DataFrame:
 
 
 def finding_ids(t: Tables) -> DataFrame:
-    """The annotators' findings with the single id that they give, linked anew."""
+    """The findings of all annotators with the single id that they give, linked anew."""
     text = t.normalize(F.col("text"))
-    rows = t.annotations.filter("annotator = 'dict' AND text IS NOT NULL").select(F.col("e_ord").alias("finding_id"), text.alias("text"), F.lit("").alias("canonical"), F.when(F.col("identifier").rlike("^HP:[0-9]+$"), F.col("identifier")).alias("supplied"))
+    rows = t.annotations.filter("text IS NOT NULL").select(F.col("e_ord").alias("finding_id"), text.alias("text"), F.lit("").alias("canonical"), F.when(F.col("identifier").rlike("^HP:[0-9]+$"), F.col("identifier")).alias("supplied"))
     return linking.finding_identifiers(rows, t.aliases, t.dictionary, contexts.majority_ids(t.entities, t.normalize))
 
 

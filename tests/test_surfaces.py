@@ -49,3 +49,15 @@ def test_queries_with_sql_keep_its_form_and_the_others_fold(spark, folder):
     assert all(n.removesuffix("_nfkc") in entry.oracle_sql() for n in entry.queries() if n.endswith("_nfkc"))
     t = Tables(spark, folder)
     assert [r[0] for r in spark.range(1).select(t.normalize(F.lit("ﬁt"))).collect()] == ["fit"] and t.fold is gazetteer.fold_same
+
+
+def test_findings_of_all_annotators_are_linked(spark, tmp_path):
+    article = ("PMC1", "1", [{"section_type": "CASE", "offset": 0, "text": "ataxia"}], [], [], [], 0, "train")
+    spark.createDataFrame([article], files.ARTICLE + ", article_row bigint, split string").write.parquet(f"{tmp_path}/articles.parquet")
+    said = [(1, "dict", "HP:1", "ataxia"), (2, "ann1", "HP:1", "ataxia"), (3, "ann2", "-1", "Ataxia"), (4, "ann3", "HP:1", "ataxias"), (5, "ann1", "-1", "zzz"), (6, "ann2", "-1", None)]
+    rows = [(i, "PMC1", who, hp, "Phenotype", 0, 6, text, None) for i, who, hp, text in said]
+    spark.createDataFrame(rows, "entity_id bigint, pmc_id string, annotator string, identifier string, type string, offset int, length int, text string, note string").write.parquet(f"{tmp_path}/entities.parquet")
+    terms = [("HP:1", "Ataxia", [], [], [], False, None, 1)]
+    spark.createDataFrame(terms, "identifier string, name string, synonyms array<string>, parents array<string>, alt_ids array<string>, obsolete boolean, replaced_by string, loaded_at bigint").write.parquet(f"{tmp_path}/hpo_terms.parquet")
+    got = {r["finding_id"]: (r["identifier"], r["how"]) for r in entry.queries()["finding_ids"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("HP:1", "supplied"), 2: ("HP:1", "supplied"), 3: ("HP:1", "exact"), 4: ("HP:1", "supplied"), 5: (None, None)}
