@@ -7,7 +7,7 @@ length, digits and script, the marks, quotes and brackets around it, and how oft
 The model is trained on reliable places alone: ends of texts and paragraphs, marks that only end sentences, words that
 often end texts before words that often begin them; and, as counterexamples, places inside quotes and brackets, before
 lower case and commas, after tokens that never end a text. Token statistics cover all rows; the model is fitted on the
-candidates of at most ``TRAIN_TEXTS`` texts, chosen by hash.
+candidates of at most ``TRAIN_TEXTS`` distinct texts, chosen by hash.
 
 Defined cases: null, empty and blank texts have no sentences; offsets are code points without outer white space; rows with
 the same key each give their sentences; an empty table gives none. Extra columns are ignored.
@@ -24,11 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mentionloom.session import cut
-
 TRAIN_TEXTS = 4_000
-#: bound of each list of token statistics
-LISTED = 5_000
+#: counts under which a token says nothing, or a line is no heading
+LEAST_TOKENS, LEAST_LINES = 8, 3
 DIMENSIONS = 1 << 15
 ROUNDS = 300
 
@@ -97,11 +95,11 @@ class Statistics:
 
     def final(self, token: str) -> str:
         n, f = self.before.get(token, (0, 0))
-        return "unseen" if n < 8 else "never" if f < 0.004 * n else "rare" if f < 0.05 * n else "often"
+        return "unseen" if n < LEAST_TOKENS else "never" if f < 0.004 * n else "rare" if f < 0.05 * n else "often"
 
     def starter(self, token: str) -> str:
         n, s = self.after.get(token, (0, 0))
-        return "unseen" if n < 8 and not s else "never" if s < 0.004 * n else "rare" if s < 0.05 * n else "often"
+        return "unseen" if n < LEAST_TOKENS and not s else "never" if s < 0.004 * n else "rare" if s < 0.05 * n else "often"
 
 
 def _places(text: str, closed: dict[int, bool]):
@@ -173,7 +171,7 @@ def candidates(text: str, stats: Statistics | None):
         final = stats.final(word.lower()) if stats else "unseen"
         starter = stats.starter(following) if stats else "unseen"
         whole = text[line_start:end].strip()
-        heading = kind == "line" and stats is not None and stats.lines.get(_mask(whole), 0) >= 3
+        heading = kind == "line" and stats is not None and stats.lines.get(_mask(whole), 0) >= LEAST_LINES
         words = min(6, len(whole.split()))
         sure = bool(mark) and mark[-1] in _SURE
         dots = mark[:1] == "…" or mark.startswith("..")
@@ -267,12 +265,13 @@ def _count(batches):
 
 
 def statistics(texts: DataFrame) -> Statistics:
-    """Counts over all texts; of each kind the ``LISTED`` most frequent come to the driver."""
+    """Counts over all texts; every token and line that can be told from an unseen one comes to the driver."""
     counts = texts.mapInArrow(_count, "kind string, token string, n bigint, reliable bigint").groupBy("kind", "token").agg(F.sum("n").alias("n"), F.sum("reliable").alias("r"))
-    counts = cut(counts)
-    got = {kind: {r["token"]: (r["n"], r["r"]) for r in counts.filter(F.col("kind") == kind).orderBy(F.desc("r"), F.desc("n"), "token").limit(LISTED).collect()} for kind in ("before", "after")}
-    common = {kind: {r["token"]: (r["n"], r["r"]) for r in counts.filter(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(LISTED).collect()} for kind in ("before", "after", "line")}
-    return Statistics(common["before"] | got["before"], common["after"] | got["after"], {k: n for k, (n, _) in common["line"].items()})
+    telling = f"kind = 'before' AND n >= {LEAST_TOKENS} OR kind = 'after' AND (n >= {LEAST_TOKENS} OR r > 0) OR kind = 'line' AND n >= {LEAST_LINES}"
+    got: dict[str, dict[str, tuple[int, int]]] = {"before": {}, "after": {}, "line": {}}
+    for r in counts.filter(telling).toArrow().to_pylist():
+        got[r["kind"]][r["token"]] = (r["n"], r["r"])
+    return Statistics(got["before"], got["after"], {k: n for k, (n, _) in got["line"].items()})
 
 
 def fit(rows: list[tuple[list[int], int]], rounds: int = ROUNDS, decay: float = 1e-5) -> np.ndarray:
@@ -296,7 +295,9 @@ def fit(rows: list[tuple[list[int], int]], rounds: int = ROUNDS, decay: float =
 
 
 def train(texts: DataFrame, stats: Statistics, most: int = TRAIN_TEXTS) -> np.ndarray:
-    sample = texts.orderBy(F.xxhash64("text"), "text").limit(most).repartition(6)
+    hashed = texts.withColumn("h", F.xxhash64("text"))
+    last = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]  # of distinct texts, without a shuffle of them
+    sample = hashed.filter(F.col("h") <= F.lit(last).cast("bigint")).distinct().orderBy("h", "text").select("text").repartition(6)
 
     def run(batches):
         known: dict[str, int] = {}

@@ -61,3 +61,23 @@ def test_null_blank_empty_and_long(spark):
     rows = S.sentences(df).collect()
     assert {r["passage_id"] for r in rows} == {4} and max(r["end_char"] for r in rows) == len("😀 One. " * 5000) - 1
     assert S.sentences(df.limit(0)).count() == 0
+
+
+def test_every_counted_token_and_line_is_kept(spark):
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05d}")
+    many = [(f"{word(i)[0].upper()}{word(i)[1:]} {word(i)}x. next\nhead {word(i)}\nend",) for i in range(6000) for _ in range(8)]
+    rare = [("Zz zz. next\nhead zz\nend",)] * 8
+    stats = S.statistics(spark.createDataFrame(many + rare, "text string").repartition(4))
+    assert len(stats.before) >= 6001 and stats.before["zz"] == (8, 0) and stats.final("zz") == "never"
+    assert all(stats.starter(f"{word(i)[0].upper()}{word(i)[1:]}") == "often" for i in range(0, 6000, 500)) and stats.starter("Zz") == "often"
+    assert stats.lines["head zz"] == 8 and len(stats.lines) == 12002
+
+
+def test_copies_take_no_place_in_the_training_sample(spark):
+    texts = spark.createDataFrame([(f"She sat {w}. He ran.",) for w in ("up", "in", "by", "on")], "text string")
+    from pyspark.sql import functions as F
+
+    first = texts.orderBy(F.xxhash64("text")).first()[0]
+    copies = texts.unionByName(spark.createDataFrame([(first,)] * 20, "text string"))
+    stats = S.statistics(texts)
+    assert (S.train(copies, stats, 4) == S.train(texts, stats, 4)).all()
