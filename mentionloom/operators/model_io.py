@@ -6,17 +6,16 @@ null reply, and the failure policy is the caller's. Replies are parsed tolerantl
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable, Iterator
 from functools import reduce
-from typing import Any, Protocol
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mentionloom.functions import jsontext
 from mentionloom.functions import text as tx
 from mentionloom.operators import entity_sets as es
 from mentionloom.operators import structure
@@ -72,60 +71,14 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CACHE)
 
 
-def _whole_objects(text: str) -> list[dict]:
-    found = []
-    for m in re.finditer(r"\{[^{}]*\}", text):
-        try:
-            value = json.loads(m[0])
-        except ValueError:
-            continue
-        if isinstance(value, dict):
-            found.append(value)
-    return found
-
-
-def recover_json(reply: str) -> Any:
-    """The value of a reply that may be fenced, followed by prose, or cut off: what is complete is kept. ``ValueError`` if nothing is."""
-    fence = re.search(r"```(?:json)?\s*(.*?)\s*```", reply, re.S | re.I)
-    body = fence[1] if fence else reply.strip()
-    try:
-        return json.loads(body)
-    except ValueError as broken:
-        failure = broken
-    if m := re.search(r'"entity_indices"\s*:\s*\[([^\]]*)', body):
-        return {"entity_indices": [int(x) for x in re.findall(r"\d+", m[1])]}
-    if m := re.search(r'"assignments"\s*:\s*\{', body):
-        rest = body[m.end() :]
-        starts = [(x[1], x.end()) for x in re.finditer(r'"([^"\\]+)"\s*:\s*\[', rest)]
-        parts = {name: rest[at : starts[i + 1][1] if i + 1 < len(starts) else len(rest)] for i, (name, at) in enumerate(starts)}
-        objects = {name: kept for name, part in parts.items() if (kept := [o for o in _whole_objects(part) if {"passage_index", "text"} <= o.keys()])}
-        if objects:
-            return {"assignments": objects}
-        numbers = {name: [int(x) for x in re.findall(r"\d+", part.split("]")[0])] for name, part in parts.items()}
-        if numbers:
-            return {"assignments": numbers}
-    if re.search(r'"entities"\s*:\s*\[', body):
-        return {"entities": [o for o in _whole_objects(body) if "text" in o]}
-    at = min((i for i in (body.find("{"), body.find("[")) if i >= 0), default=-1)
-    if at < 0:
-        raise failure
-    try:
-        return json.JSONDecoder().raw_decode(body[at:])[0]
-    except ValueError:
-        end = body.rfind("}" if body[at] == "{" else "]")
-        if end <= at:
-            raise failure from None
-        return json.loads(body[at : end + 1])
-
-
 @F.pandas_udf(T.StringType())
 def recovered(replies: pd.Series) -> pd.Series:
     """The reply as strict JSON text, or null."""
 
     def one(reply):
         try:
-            return json.dumps(recover_json(reply), ensure_ascii=False)
-        except (ValueError, TypeError, RecursionError):
+            return jsontext.write(jsontext.recover(reply))
+        except ValueError:
             return None
 
     return replies.map(one, na_action="ignore")

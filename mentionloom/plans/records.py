@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mentionloom.operators import hierarchy, packed, tagged
-from mentionloom.session import table
+from mentionloom.session import shared_path, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return tagged.flatten_records(table(spark, d, "raw_articles")).select("line_no", "child", "parent_pos", "pos", "val")
+    path = shared_path(spark, "records")
+    tagged.write_tables(tagged.flatten_records(table(spark, d, "raw_articles")), path)
+    return tagged.child_values(spark, path)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

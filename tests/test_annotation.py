@@ -5,6 +5,7 @@ import json
 import pytest
 
 from mentionloom import cli
+from mentionloom.functions import jsontext
 from mentionloom.functions import text as tx
 from mentionloom.operators import abbreviations, associations, batching, candidates, entity_sets, evaluation, gazetteer, linking, model_io, ontology, structure, validation
 from mentionloom.sources import articles as src
@@ -286,12 +287,12 @@ def test_chunks_and_batches(spark):
     ],
 )
 def test_replies_are_recovered(reply, value):
-    assert model_io.recover_json(reply) == value
+    assert jsontext.recover(reply) == value
 
 
 def test_replies_without_json():
     with pytest.raises(ValueError):
-        model_io.recover_json("nothing here")
+        jsontext.recover("nothing here")
 
 
 def test_requests_and_cache(spark, tmp_path):
@@ -347,7 +348,7 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         q = ingest.stream_records(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
         q.awaitTermination()
-    assert [(r["child"], r["val"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("entity", "HP:1")]
+    assert [(r["child"], json.loads(r["payload"])) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("entity", {"identifier": "HP:1"})]
 
 
 def test_union_of_sides_with_different_partitioning(spark):

@@ -1,6 +1,7 @@
 import json
 
 from mentionloom.operators import tagged
+from mentionloom.session import shared_path
 
 ARTICLE = {
     "pmc_id": "PMC1",
@@ -17,8 +18,10 @@ ROWS = {
 
 def flat(spark, lines):
     df = spark.createDataFrame([(i, p, "extra", None) for i, p in enumerate(lines)], "line_no bigint, payload string, child string, val string")
+    path = shared_path(spark, "t")
+    tagged.write_tables(tagged.flatten_records(df), path)
     out = {}
-    for r in tagged.flatten_records(df).collect():
+    for r in tagged.child_values(spark, path).collect():
         out.setdefault(r["line_no"], set()).add((r["child"], r["parent_pos"], r["pos"], r["val"]))
     return out
 
@@ -33,7 +36,7 @@ def test_shapes_of_one_article_give_the_same_rows(spark):
 
 def test_lines_that_are_no_object_give_nothing(spark):
     whole = json.dumps(ARTICLE)
-    assert flat(spark, [None, "", "  ", "null", "[]", '"text"', "7", whole[:-1], whole + "x", whole + whole, "{" * 5000, "nonsense"]) == {}
+    assert flat(spark, [None, "", "  ", "null", "[]", '"text"', "7", whole[:-1], whole + "x", whole + whole, "{" * 5000, "nonsense", '{"entities": [{"identifier": NaN}]}', '{"entities": [Infinity]}', "[" * 100_000 + "]" * 100_000]) == {}
 
 
 def test_object_or_value_in_place_of_an_array(spark):
@@ -54,3 +57,18 @@ def test_tables_by_tag(spark, tmp_path):
     assert [(m["parent_key"], m["pos"], m["text"], m["offset"]) for m in mentions] == [("5/patient:0", 0, "m0", None), ("5/patient:0", 2, None, 3)]
     values = tagged.read_table(spark, str(tmp_path / "t"), "phenotype")
     assert {(r["pk"], r["value"]) for r in values.collect()} == {("5/association:0/phenotype:0", "HP:1"), ("5/association:0/phenotype:2", "HP:2")}
+
+
+def test_any_depth(spark):
+    record, deep = json.dumps(ARTICLE), "[" * 100_000 + "]" * 100_000
+    for _ in range(50):
+        record = json.dumps({"w": json.loads(record)})
+    got = flat(spark, [record, '{"w":' * 50_000 + json.dumps(ARTICLE) + "}" * 50_000, json.dumps({"entities": [{"identifier": "a"}], "more": 1})[:-2] + deep + "}", '{"entities": [{"identifier": ' + deep + "}]}"])
+    assert got[0] == got[1] == ROWS and got[2] == {("entity", -1, 0, "a")} and got[3] == {("entity", -1, 0, deep)}
+
+
+def test_fields_of_another_type(spark, tmp_path):
+    df = spark.createDataFrame([(1, '{"entities": [{"identifier": 7, "offset": "12", "length": "x", "note": true, "text": {"a": 1}}, "HP:1"]}')], "line_no bigint, payload string")
+    tagged.write_tables(tagged.flatten_records(df), str(tmp_path / "t"))
+    rows = tagged.read_table(spark, str(tmp_path / "t"), "entity").orderBy("pos").collect()
+    assert [(r["identifier"], r["offset"], r["length"], r["note"], r["text"]) for r in rows] == [("7", 12, None, "true", '{"a": 1}'), ("HP:1", None, None, None, None)]
