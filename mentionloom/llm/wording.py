@@ -14,6 +14,8 @@ _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _SPLIT_WORD = regex.compile(r"(?<=\p{L})[-‐­]\s*\n[>\s]*(?=\p{Ll})")
 _INVISIBLE = regex.compile(r"[\p{Cf}­]")
 _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[^\W_\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+")
+_ASCII_TOKEN = re.compile(r"[a-z0-9]+")
+_MARKS = regex.compile(r"\p{Mn}+")
 _MIXED = regex.compile(r"(?=[^\W\d_]*\p{Latin})(?=[^\W\d_]*[\p{Cyrillic}\p{Greek}])[^\W_]+")
 # Letters of other scripts that look like Latin ones.
 _LOOKALIKES = str.maketrans("аеорсухіјѕԁһӏԛԝвкмнтαοερνικτυ", "aeopcyxijsdhlqwbkmhtaoepviktu")
@@ -32,10 +34,8 @@ def tokens(text: str | None) -> list[str]:
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower()
         text = _MIXED.sub(lambda m: m[0].translate(_LOOKALIKES), text)
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
-    else:
-        text = text.lower()
-    return _TOKEN.findall(text)
+        return _TOKEN.findall(_MARKS.sub("", unicodedata.normalize("NFD", text)))
+    return _ASCII_TOKEN.findall(text.lower())
 
 
 class Hasher:

@@ -59,3 +59,43 @@ def test_report(spark):
     rows = [article(1, "PMC1", "train", None), article(2, "PMC1", "dev", None), article(3, "PMC3", "dev", None)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert [tuple(r) for r in O.overlap_report(df, O.split_overlaps(df)).collect()] == [("dev", "s", 2, 1)]
+
+
+def test_short_near_copies_and_long_stock_openings(spark):
+    """Every pair of near copies of short texts, and of texts behind one long opening, is found that plain comparison of all pairs finds."""
+    r = random.Random(5)
+    rows, n = [], 0
+    for size in (8, 9, 10, 12, 14, 16, 18, 20, 24, 32, 64, 65, 90):
+        for k in range(15):
+            words = [f"z{size}x{k}x{i}" for i in range(size)]
+            other = words[:-1] + ["else"] if k % 3 else edited(words, max(9, size // 2))
+            rows += [article(2 * n, None, "train", [" ".join(words)]), article(2 * n + 1, None, "dev", [" ".join(other)])]
+            n += 1
+    opening = text(77, 40)
+    for k in range(60):
+        words = opening + [r.choice(WORDS) for _ in range(30)]
+        rows += [article(2 * n, None, "train", [" ".join(words)]), article(2 * n + 1, None, "dev", [" ".join(words[:-2])])]
+        n += 1
+    ids = {row[0]: np.array([hash(w) & 0xFFFFFFFF for w in row[4][0][2].split()], np.uint32) for row in rows}
+    train, dev = [i for i in ids if i % 2 == 0], [i for i in ids if i % 2]
+    share = O.coverages([ids[a] for a in train for _ in dev], [ids[b] for _ in train for b in dev])
+    true = {(min(a, b), max(a, b)) for (a, b), s in zip(((a, b) for a in train for b in dev), share, strict=True) if s >= O.COVERAGE}
+    assert len(true) > 200 and pairs(spark, rows) == true
+
+
+def test_crowd_of_copies_and_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(O, "CHUNK", 4)
+    base = text(3, 300)
+    rows = [article(i, None, "train" if i % 2 else "dev", [" ".join(edited(base, 40 + i))]) for i in range(60)]
+    assert pairs(spark, rows) == {(i, j) for i in range(60) for j in range(i + 1, 60) if (i + j) % 2}
+    same = [article(i, "PMC9" if i % 3 else None, "train" if i % 2 else "dev", [" ".join(base)]) for i in range(40)]
+    got = O.split_overlaps(spark.createDataFrame(same, SCHEMA)).collect()
+    assert len(got) == 400 and len({tuple(r) for r in got}) == 400
+
+
+def test_ranks_follow_common_prefixes():
+    r = np.random.default_rng(1)
+    a = r.integers(0, 1 << 31, 400).astype(np.uint32)
+    b = np.concatenate((r.integers(0, 1 << 31, 33).astype(np.uint32), a[100:150], r.integers(0, 1 << 31, 90).astype(np.uint32)))
+    (ha, ta), (hb, tb) = O.ranks(a, np.array([100, 101])), O.ranks(b, np.array([33, 34]))
+    assert (ha == hb).all() and ha[0] != ha[1] and (ta.view(np.uint64) >> np.uint64(32) == tb.view(np.uint64) >> np.uint64(32)).all() and (ta != tb).all()
