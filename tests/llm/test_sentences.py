@@ -81,3 +81,30 @@ def test_copies_take_no_place_in_the_training_sample(spark):
     copies = texts.unionByName(spark.createDataFrame([(first,)] * 20, "text string"))
     stats = S.statistics(texts)
     assert (S.train(copies, stats, 4) == S.train(texts, stats, 4)).all()
+
+
+def test_joined_statistics_give_the_same_sentences(spark, corpus, found):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(corpus)], "passage_id bigint, text string")
+    got = {}
+    for r in S.sentences(df, broadcast=0).orderBy("passage_id", "sent_no").collect():
+        got.setdefault(r["passage_id"], []).append((r["start_char"], r["end_char"]))
+    assert got == found
+
+
+def test_sample_is_bounded_and_the_same_everywhere(spark):
+    texts = spark.createDataFrame([(f"Case {i} sat. He ran {i}.",) for i in range(3000)], "text string")
+    a, b = ({r[0] for r in S.sample_texts(df, 300).collect()} for df in (texts, texts.unionByName(texts).repartition(7)))
+    assert a == b and 200 < len(a) < 400
+
+
+@pytest.mark.parametrize("unit", ["患者没有小脑萎缩，也没有关节僵硬；“随访。”8个月.", "The infant (\"case 3\") showed mild spasm, vs. 3.5 kg. ", "a\n\n\n", "(", 'a: "b" '])
+def test_time_in_proportion_to_length(unit):
+    from time import process_time
+
+    stats, model = S.Statistics({}, {}, {}), S.Model(S.fit([]))
+    seconds = []
+    for n in (20_000, 200_000):
+        began = process_time()
+        S.split(unit * (n // len(unit)), stats, model)
+        seconds.append(process_time() - began)
+    assert seconds[1] < 40 * seconds[0] + 0.2  # a hundred times and more if it were quadratic
