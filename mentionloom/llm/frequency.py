@@ -4,7 +4,8 @@ Vertical layout: each task turns its rows into one bitmap of occurrence ids and
 of 65,536 ids, sorted 16-bit arrays while sparse and plain bitmaps once dense - with counters beside them where an
 occurrence holds a term more than once. A bitmap covers a bucket of 2^22 ids, so that a term of any frequency is spread
 over as many shuffle keys as it has buckets. The bitmaps of a term and bucket are merged by union, which also removes
-repeated deliveries, and both frequencies are read off the cardinalities.
+repeated deliveries, first those of a share of the tasks where they are large, then all; whatever their number, a key holds
+one bitmap in memory. Both frequencies are read off the cardinalities.
 
 Defined cases: null and empty terms are left out; a null occurrence id drops the row; a null record counts for no record;
 records are compared as written (``PMC`` and a number is the number itself, anything else a 63-bit hash). An empty table
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 22
 DENSE = 4096
 FLUSH_ROWS = 200_000
+#: bitmaps from so many bytes on are united by that many shares of the tasks, and each by itself
+HEAVY_BYTES, SHARES = 1 << 16, 256
 RARE_RECORDS = 2
 COMMON_SHARE = 0.05
 _POSTINGS = "field string, term string, kind int, bucket bigint, bitmap binary, more binary"
@@ -148,25 +151,7 @@ def _emit(batches):
         yield from _postings("identifier", ids.dictionary, code, occurrence[parent], record[parent], recorded[parent])
 
 
-def _merge(batches):
-    """Union of the bitmaps of each key; rows come sorted by key, and a key's rows stay together."""
-    held = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        if held.num_rows < 50_000 and held.nbytes < 32_000_000:
-            continue
-        code = _keys(held)
-        cut = int(np.searchsorted(code, code[-1]))
-        if cut:
-            yield _cardinality(held.slice(0, cut).combine_chunks(), code[:cut])
-            held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield _cardinality(held.combine_chunks(), _keys(held))
-
-
 def _keys(t: pa.Table) -> np.ndarray:
-    t = t.combine_chunks()
     change = np.zeros(t.num_rows, bool)
     for name in ("field", "term", "kind", "bucket"):
         c = t.column(name)
@@ -174,22 +159,90 @@ def _keys(t: pa.Table) -> np.ndarray:
     return np.cumsum(change)
 
 
-def _cardinality(t: pa.Table, code: np.ndarray) -> pa.RecordBatch:
-    code = code - code[0]
+def _union_of(bitmaps: list[bytes]) -> tuple[bytes, int]:
+    """(bitmap, cardinality) of the union of bitmaps of any size, in the space of one."""
+    bits = np.zeros(1 << BUCKET_BITS - 4, np.uint16)
+    for raw in bitmaps:
+        words, at = np.frombuffer(raw, np.uint16), 0
+        while at < len(words):
+            box, card = int(words[at]) << 12, int(words[at + 1])
+            if card:
+                own = np.zeros(65536, np.uint8)
+                own[words[at + 2 : at + 2 + card]] = 1
+                bits[box : box + DENSE] |= np.packbits(own).view(np.uint16)
+            else:
+                bits[box : box + DENSE] |= words[at + 2 : at + 2 + DENSE]
+            at += 2 + (card or DENSE)
+    out, total = [], 0
+    for box in range(1 << BUCKET_BITS - 16):
+        part = bits[box * DENSE : (box + 1) * DENSE]
+        if part.any():
+            ids = np.flatnonzero(np.unpackbits(part.view(np.uint8)))
+            total += len(ids)
+            out += [np.array([box, 0 if len(ids) > DENSE else len(ids)], np.uint16), part if len(ids) > DENSE else ids.astype(np.uint16)]
+    return np.concatenate(out).tobytes() if out else b"", total
+
+
+def _united(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """One row for each key of ``t``, whose rows come sorted by key, and how many occurrences or records it counts."""
+    t = t.combine_chunks()
+    code = _keys(t)
     n = int(code[-1]) + 1
-    row, low = unpack(t.column("bitmap").combine_chunks())
-    count = np.bincount(np.unique(code[row] << BUCKET_BITS | low) >> BUCKET_BITS, minlength=n)
-    more = t.column("more")
+    bitmap, more = t.column("bitmap").combine_chunks(), t.column("more").combine_chunks()
+    size = pc.binary_length(bitmap).to_numpy()
+    large = np.bincount(code, size, minlength=n) >= HEAVY_BYTES
+    thin = np.flatnonzero(~large[code])
+    row, low = unpack(bitmap.take(pa.array(thin)))
+    ids = np.unique(code[thin][row] << BUCKET_BITS | low)
+    count = np.bincount(ids >> BUCKET_BITS, minlength=n)
+    packed = pack(ids >> BUCKET_BITS, ids & ((1 << BUCKET_BITS) - 1), n)
+    if large.any():
+        every = packed.to_pylist()
+        for k in np.flatnonzero(large):
+            a, b = np.searchsorted(code, [k, k + 1])
+            every[k], count[k] = _union_of(bitmap.slice(a, b - a).to_pylist())
+        packed = pa.array(every, pa.binary())
+    extra: list[bytes | None] = [None] * n
     if more.null_count < len(more):
-        seen: set[tuple[int, int, int]] = set()
-        for r in np.flatnonzero(pc.is_valid(more).to_numpy()):
-            for i, x in np.frombuffer(more[int(r)].as_py(), np.int64).reshape(-1, 2):
-                if (key := (int(code[r]), int(i), int(x))) not in seen:
-                    seen.add(key)
-                    count[code[r]] += x
+        counters: dict[int, list[np.ndarray]] = {}
+        for r in np.flatnonzero(pc.is_valid(more).to_numpy(zero_copy_only=False)):
+            counters.setdefault(int(code[r]), []).append(np.frombuffer(more[int(r)].as_py(), np.int64).reshape(-1, 2))
+        for k, found in counters.items():
+            once = np.unique(np.concatenate(found), axis=0)
+            extra[k], count[k] = once.tobytes(), count[k] + once[:, 1].sum()
     first = pa.array(np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))))
-    kind = t.column("kind").take(first).to_numpy()
-    return pa.RecordBatch.from_arrays([t.column("field").combine_chunks().take(first), t.column("term").combine_chunks().take(first), pa.array(np.where(kind == 0, count, 0)), pa.array(np.where(kind == 1, count, 0))], names=["field", "term", "n_occ", "n_articles"])
+    keys = t.select(["field", "term", "kind", "bucket"]).take(first)
+    return keys.append_column("bitmap", packed).append_column("more", pa.array(extra, pa.binary())), count
+
+
+def _by_key(batches):
+    """Tables of whole keys with their counts; of a key that goes on no more than one row is held."""
+    held: list[pa.Table] = []
+    rows = size = 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, 20_000):
+            t = pa.Table.from_batches([batch.slice(start, 20_000)])
+            held.append(t)
+            rows, size = rows + t.num_rows, size + t.nbytes
+            if rows < 50_000 and size < 8_000_000:
+                continue
+            t, count = _united(pa.concat_tables(held))
+            if t.num_rows > 1:
+                yield t.slice(0, t.num_rows - 1), count[:-1]
+            held, rows, size = [t.slice(t.num_rows - 1).combine_chunks()], 1, 0
+    if held and rows:
+        yield _united(pa.concat_tables(held))
+
+
+def _unite(batches):
+    for t, _ in _by_key(batches):
+        yield from t.combine_chunks().to_batches()
+
+
+def _cardinality(batches):
+    for t, count in _by_key(batches):
+        kind = t.column("kind").to_numpy()
+        yield pa.RecordBatch.from_arrays([t.column("field").combine_chunks(), t.column("term").combine_chunks(), pa.array(np.where(kind == 0, count, 0)), pa.array(np.where(kind == 1, count, 0))], names=["field", "term", "n_occ", "n_articles"])
 
 
 def term_frequencies(rows: DataFrame, rare: int = RARE_RECORDS, common: float = COMMON_SHARE) -> DataFrame:
@@ -198,7 +251,10 @@ def term_frequencies(rows: DataFrame, rare: int = RARE_RECORDS, common: float =
     record = F.when(number != "", number.cast("bigint")).when(F.col("pmc_id").isNotNull(), F.xxhash64("pmc_id").bitwiseOR(F.lit(-(1 << 63))))
     postings = rows.filter("candidate_id is not null").select("candidate_id", record.alias("record"), "text", "identifier").mapInArrow(_emit, _POSTINGS)
     keys = ["field", "term", "kind", "bucket"]
-    merged = postings.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge, "field string, term string, n_occ bigint, n_articles bigint")
+    # large bitmaps of one key are united by shares of the tasks first, then all
+    share = F.when(F.length("bitmap") >= HEAVY_BYTES, F.pmod(F.spark_partition_id(), F.lit(SHARES))).otherwise(-1)
+    united = postings.withColumn("share", share).repartition(*keys, "share").sortWithinPartitions(*keys).select(*keys, "bitmap", "more").mapInArrow(_unite, _POSTINGS)
+    merged = united.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cardinality, "field string, term string, n_occ bigint, n_articles bigint")
     records = rows.agg(F.countDistinct("pmc_id")).first()[0]
     mark = F.when(F.col("n_articles") <= rare, "rare").when(F.col("n_articles") > common * records, "common").otherwise("kept")
     return merged.groupBy("field", "term").agg(F.sum("n_occ").alias("n_occ"), F.sum("n_articles").alias("n_articles")).withColumn("mark", mark)

@@ -2,6 +2,9 @@ import random
 
 import numpy as np
 
+import pyarrow as pa
+
+from mentionloom.llm import frequency
 from mentionloom.llm.frequency import normal_text, pack, term_frequencies, unpack
 
 SCHEMA = "candidate_id bigint, pmc_id string, text string, identifier string, term string, n_occ bigint"
@@ -46,3 +49,37 @@ def test_random_tables_against_counting(spark):
 def test_empty_table_and_long_text(spark):
     assert counted(spark, []) == {}
     assert counted(spark, [(1, "PMC1", "x" * 200_000, None, None, 0)]) == {("text", "x" * 200_000): (1, 1, "rare")}
+
+
+def postings(tasks, ids_of):
+    """What many tasks send of one term, batch by batch."""
+    for task in range(tasks):
+        ids = ids_of(task)
+        more = np.array([[ids[0], 2]], np.int64).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(["text"] * 2), pa.array(["hot", "hot"]), pa.array([0, 0], pa.int32()), pa.array([0, 0], pa.int64()), pa.array(pack(np.zeros(len(ids), np.int64), ids, 1).to_pylist() * 2), pa.array([more, None], pa.binary())], names=["field", "term", "kind", "bucket", "bitmap", "more"])
+
+
+def test_a_term_of_every_row_takes_the_space_of_one_bitmap():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    tracemalloc.start()
+    rows = [b for b in frequency._cardinality(postings(1000, lambda task: np.arange(task * 4000, task * 4000 + 4000) if task % 2 else np.unique(r.integers(0, 1 << 22, 200_000))))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == 1 and rows[0].num_rows == 1 and 3_900_000 < rows[0].column(2)[0].as_py() < (1 << 22) + 2001 and peak < 150_000_000
+
+
+def test_uniting_twice_counts_the_same():
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 22, n)) for i, n in enumerate((10, 5000, 300_000, 300_000, 70_000))]
+    whole = [b for b in frequency._cardinality(postings(5, lambda task: sets[task]))]
+    parts = [x for task in range(5) for x in frequency._unite(postings(1, lambda _, task=task: sets[task]))]
+    again = [b for b in frequency._cardinality(iter(parts))]
+    assert whole[0].to_pylist() == again[0].to_pylist() == [{"field": "text", "term": "hot", "n_occ": len(np.unique(np.concatenate(sets))) + 2 * len({s[0] for s in sets}), "n_articles": 0}]
+
+
+def test_shares_of_tasks_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(frequency, "HEAVY_BYTES", 8)
+    rows = [(i, f"PMC{i % 700 + 1}", "hot" if i % 3 else f"t{i % 50}", "x;x", None, 0) for i in range(3000)]
+    got = counted(spark, rows + rows[::7])
+    assert got["text", "hot"][:2] == (2000, 700) and got["identifier", "x"][:2] == (6000, 700) and sum(v[0] for k, v in got.items() if k[0] == "text") == 3000
