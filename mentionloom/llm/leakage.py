@@ -1,11 +1,13 @@
 """Evaluation texts in training text: rare n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are the rarer half of each item's n-grams, by the number of items that hold them. Documents that share seeds with an
-item are aligned with it word by word (local alignment with gaps); a second stretch close before or after the first counts
-too. A document is a case if the aligned words are at least ``share`` of the item's words.
+The n-grams of all items are looked up in all documents, with their places. Seeds are the rarer half of each item's n-grams,
+by the number of documents that hold them. Documents that share seeds with an item are aligned with it word by word (local
+alignment with gaps), in windows around the seeds, as the rest of a document can hold nothing of the item but scattered
+words; a second stretch close before or after the first counts too. A document is a case if the aligned words are at least
+``share`` of the item's words. An alignment takes memory in proportion to its window.
 
 Defined cases: null, empty and blank texts of either side give no case; repeated rows of a document give one case; items
-with equal wording are each reported. Whole texts are aligned, whatever their length. Extra columns are ignored.
+with equal wording are each reported. Windows cover all seeds, whatever the length of the text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,87 +27,155 @@ SHARE = 0.55
 #: the second stretch may stand so many words away, and needs so many words
 CLOSE_WORDS = 60
 LEAST_STRETCH = 6
-#: up to so many seeds (16 bytes each) the seed table is broadcast; beyond, it is joined by shuffle
-BROADCAST_SEEDS = 500_000
+#: up to so many item n-grams (8 bytes each) are sent to the tasks; beyond, documents' n-grams are joined by shuffle
+BROADCAST_GRAMS = 1_000_000
+#: shares of the documents by which a frequent seed is joined
+SHARES = 16
 
 
-def _grams_of(rows: DataFrame, key: str, n: int) -> DataFrame:
-    def run(batches):
-        hasher = Hasher()
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            found = [np.unique(grams(hasher(tokens(t)), n)) for t in texts]
-            offsets = np.concatenate(([0], np.cumsum([len(g) for g in found]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))], names=[key, "grams"])
+def _places(texts: list[str], hasher: Hasher, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, n-gram, place) of all n-grams; a text of fewer words is one n-gram."""
+    owner, found, place = [], [], []
+    for i, t in enumerate(texts):
+        g = grams(hasher(tokens(t)), n)
+        owner.append(np.full(len(g), i)), found.append(g), place.append(np.arange(len(g)))
+    return tuple(np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (owner, found, place))
 
-    return rows.filter("text is not null").select(key, "text").mapInArrow(run, f"{key} bigint, grams array<bigint>").select(key, F.explode("grams").alias("gram"))
 
+def _grams_of(rows: DataFrame, key: str, n: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """(key, gram, places): the distinct n-grams of each text, or those of them that are wanted."""
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)
 
-def seeds(items: DataFrame, n: int = GRAM) -> DataFrame:
-    """(item_id, gram, n_seeds): of each item the n-grams that are held by no more items than its median n-gram."""
-    held = _grams_of(items, "item_id", n).withColumn("items", F.count("*").over(Window.partitionBy("gram")))
+    def run(batches):
+        hasher, wanted = Hasher(), sent.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                owner, found, place = _places(part.column(1).to_pylist(), hasher, n)
+                if wanted is not None:
+                    hit = wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found if len(wanted) else np.zeros(len(found), bool)
+                    owner, found, place = owner[hit], found[hit], place[hit]
+                order = np.lexsort((place, found, owner))
+                owner, found, place = owner[order], found[order], place[order]
+                first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])))) if len(owner) else np.empty(0, np.int64)
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), pa.array(place.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[first])), pa.array(found[first]), places], names=[key, "gram", "places"])
+
+    return rows.filter("text is not null").select(key, "text").mapInArrow(run, f"{key} bigint, gram bigint, places array<int>")
+
+
+def hits(documents: DataFrame, item_grams: DataFrame, n: int = GRAM, broadcast: int = BROADCAST_GRAMS) -> DataFrame:
+    """(doc_id, gram, places) of all n-grams of the items in all documents."""
+    distinct = cut(item_grams.select("gram").distinct())
+    if distinct.count() <= broadcast:
+        return _grams_of(documents, "doc_id", n, np.sort(distinct.toArrow().column("gram").to_numpy()))
+    return _grams_of(documents, "doc_id", n).join(distinct, "gram").select("doc_id", "gram", "places")
+
+
+def seeds(item_grams: DataFrame, found: DataFrame) -> DataFrame:
+    """(item_id, gram, n_seeds): of each item the n-grams that no more documents hold than its median n-gram; an n-gram of no document is the rarest."""
+    held = item_grams.join(found.groupBy("gram").agg(F.count("*").alias("documents")), "gram", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
     w = Window.partitionBy("item_id")
-    half = held.withColumn("median", F.percentile("items", F.lit(0.5)).over(w)).filter("items <= median")
+    half = held.withColumn("median", F.percentile("documents", F.lit(0.5)).over(w)).filter("documents <= median")
     return half.select("item_id", "gram", F.count("*").over(w).alias("n_seeds"))
 
 
-def candidates(documents: DataFrame, items: DataFrame, n: int = GRAM) -> DataFrame:
-    chosen = cut(seeds(items, n))
-    table = F.broadcast(chosen) if chosen.count() <= BROADCAST_SEEDS else chosen
-    hits = _grams_of(documents, "doc_id", n).join(table, "gram")
-    shared = hits.groupBy("doc_id", "item_id", "n_seeds").agg(F.countDistinct("gram").alias("n"))
-    return shared.filter(F.col("n") >= F.greatest(F.least(F.lit(2), F.col("n_seeds")), SEED_SHARE * F.col("n_seeds"))).select("doc_id", "item_id")
+def candidates(documents: DataFrame, items: DataFrame, n: int = GRAM, broadcast: int = BROADCAST_GRAMS) -> DataFrame:
+    """(doc_id, item_id, places): documents that share enough seeds with an item, and where."""
+    item_grams = cut(_grams_of(items, "item_id", n).select("item_id", "gram").distinct())
+    found = cut(hits(documents, item_grams, n, broadcast))
+    spread = seeds(item_grams, found).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    met = found.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int")).join(spread, ["gram", "part"])
+    shared = met.groupBy("doc_id", "item_id", "n_seeds").agg(F.countDistinct("gram").alias("n"), F.flatten(F.collect_list("places")).alias("places"))
+    return shared.filter(F.col("n") >= F.greatest(F.least(F.lit(2), F.col("n_seeds")), SEED_SHARE * F.col("n_seeds"))).select("doc_id", "item_id", "places")
+
+
+_ONE = np.int64(1) << np.int64(32)
+
+
+def best_end(item: np.ndarray, doc: np.ndarray, match: int = 2, miss: int = 1, gap: int = 1) -> tuple[int, int, int, int]:
+    """(score, matching words, item end, doc end) of the best local alignment, ends exclusive; of equal scores the one with more matches.
+
+    A cell is the score and, beneath it, the matches on the way there, so that one row is all that is kept.
+    """
+    if not len(item) or not len(doc):
+        return 0, 0, 0, 0
+    step = gap * _ONE * np.arange(len(doc) + 1)
+    row = np.zeros(len(doc) + 1, np.int64)
+    t = np.zeros(len(doc) + 1, np.int64)
+    best = (0, 0, 0)
+    for i, word in enumerate(item, 1):
+        np.maximum(row[:-1] + np.where(doc == word, match * _ONE + 1, -miss * _ONE), row[1:] - gap * _ONE, out=t[1:])
+        t[t < _ONE] = 0
+        row = np.maximum.accumulate(t + step) - step
+        row[row < _ONE] = 0
+        j = int(row.argmax())
+        if row[j] > best[0]:
+            best = (int(row[j]), i, j)
+    return best[0] >> 32, best[0] & 0xFFFFFFFF, best[1], best[2]
 
 
-def align(item: np.ndarray, doc: np.ndarray, match: int = 2, miss: int = -1, gap: int = 1) -> tuple[int, int, int, int, int]:
+def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int, int]:
     """Best local alignment: (matching words, item from, item to, doc from, doc to), ends exclusive."""
-    m, n = len(item), len(doc)
-    if not m or not n:
+    score, matched, i, j = best_end(item, doc)
+    if not score:
         return 0, 0, 0, 0, 0
-    step = gap * np.arange(n + 1, dtype=np.int32)
-    h = np.zeros((m + 1, n + 1), np.int32)
-    for i in range(1, m + 1):
-        t = np.zeros(n + 1, np.int32)
-        t[1:] = np.maximum(h[i - 1, :-1] + np.where(doc == item[i - 1], match, miss), h[i - 1, 1:] - gap)
-        np.maximum(t, 0, out=t)
-        h[i] = np.maximum.accumulate(t + step) - step
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    i, j = int(i), int(j)
-    i_end, j_end, hits = i, j, 0
-    while h[i, j] > 0:
-        same = doc[j - 1] == item[i - 1] if i and j else False
-        if i and j and h[i, j] == h[i - 1, j - 1] + (match if same else miss):
-            hits += int(same)
-            i, j = i - 1, j - 1
-        elif i and h[i, j] == h[i - 1, j] - gap:
-            i -= 1
+    _, _, back_i, back_j = best_end(item[:i][::-1], doc[:j][::-1])
+    return matched, i - back_i, i, j - back_j, j
+
+
+def held_share(item: np.ndarray, doc: np.ndarray, enough: float = 2.0) -> float:
+    """Share of the item's words that stand in the document in order, in one stretch or two close ones; no second one is sought from ``enough`` on."""
+    score, matched, _, _ = best_end(item, doc)
+    if not score or matched >= enough * len(item):
+        return matched / max(1, len(item))
+    matched, i0, i1, j0, j1 = align(item, doc)
+    before = best_end(item[:i0], doc[max(0, j0 - CLOSE_WORDS - len(item)) : j0])
+    after = best_end(item[i1:], doc[j1 : j1 + CLOSE_WORDS + len(item)])
+    more = [a[1] for a in (before, after) if a[1] >= LEAST_STRETCH]
+    return (matched + max(more, default=0)) / len(item)
+
+
+def windows(places: np.ndarray, item_words: int, doc_words: int) -> list[tuple[int, int]]:
+    """Stretches of a document around the seeds of an item: what can be aligned with it from a seed on, and a second stretch beside that; long ones are cut with that overlap."""
+    reach = 3 * item_words + CLOSE_WORDS + GRAM
+    out: list[list[int]] = []
+    for p in np.unique(places):
+        a, b = max(0, int(p) - reach), min(doc_words, int(p) + reach)
+        if out and a <= out[-1][1]:
+            out[-1][1] = b
         else:
-            j -= 1
-    return hits, i, i_end, j, j_end
+            out.append([a, b])
+    size, overlap = 8 * reach, 4 * reach
+    return [(s, min(b, s + size)) for a, b in out for s in range(a, max(a + 1, b - overlap), size - overlap)]
 
 
-def held_share(item: np.ndarray, doc: np.ndarray) -> float:
-    """Share of the item's words that stand in the document in order, in one stretch or two close ones."""
-    hits, i0, i1, j0, j1 = align(item, doc)
-    if not hits:
-        return 0.0
-    before = align(item[:i0], doc[max(0, j0 - CLOSE_WORDS - len(item)) : j0])
-    after = align(item[i1:], doc[j1 : j1 + CLOSE_WORDS + len(item)])
-    more = [a[0] for a in (before, after) if a[0] >= LEAST_STRETCH]
-    return (hits + max(more, default=0)) / len(item)
+def held_in_windows(item: np.ndarray, doc: np.ndarray, places: np.ndarray, enough: float = 2.0) -> float:
+    best = 0.0
+    for a, b in windows(places, len(item), len(doc)):
+        best = max(best, held_share(item, doc[a:b], enough))
+        if best >= enough:
+            break
+    return best
 
 
-def leaked(documents: DataFrame, items: DataFrame, n: int = GRAM, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, held) of every document that holds at least ``share`` of an item's wording."""
-    pairs = cut(candidates(documents, items, n))
-    texts = documents.select("doc_id", F.col("text").alias("doc_text"))
-    both = pairs.join(texts, "doc_id").join(items.select("item_id", F.col("text").alias("item_text")), "item_id").select("doc_id", "item_id", "doc_text", "item_text")
+def leaked(documents: DataFrame, items: DataFrame, n: int = GRAM, share: float = SHARE, broadcast: int = BROADCAST_GRAMS) -> DataFrame:
+    """(doc_id, item_id, held) of every document that holds at least ``share`` of an item's wording; ``held`` is what was found of it when that was reached."""
+    pairs = candidates(documents, items, n, broadcast)
+    worded = items.filter("text is not null").select("item_id", F.col("text").alias("item_text"))
+    asked = cut(pairs.join(worded, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text", "places")).alias("asked")))
+    both = documents.select("doc_id", F.col("text").alias("doc_text")).join(asked, "doc_id").select("doc_id", "doc_text", "asked")
 
     def run(batches):
         hasher = Hasher()
         for batch in batches:
-            held = [held_share(hasher(tokens(b)), hasher(tokens(a))) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.float64())], names=["doc_id", "item_id", "held"])
+            rows = []
+            for i in range(batch.num_rows):
+                doc, doc_id = hasher(tokens(batch.column(1)[i].as_py())), batch.column(0)[i].as_py()
+                for a in batch.column(2)[i].as_py():
+                    rows.append((doc_id, a["item_id"], held_in_windows(hasher(tokens(a["item_text"])), doc, np.array(a["places"], np.int64), share)))
+            ids, item_ids, held = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(item_ids, pa.int64()), pa.array(held, pa.float64())], names=["doc_id", "item_id", "held"])
 
     aligned = both.mapInArrow(run, "doc_id bigint, item_id bigint, held double")
     return aligned.filter(F.col("held") >= share).groupBy("doc_id", "item_id").agg(F.max("held").alias("held"))

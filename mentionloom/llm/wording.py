@@ -38,24 +38,21 @@ def tokens(text: str | None) -> list[str]:
     return _ASCII_TOKEN.findall(text.lower())
 
 
-class Hasher:
+class Hasher(dict):
     """64-bit ids of tokens, the same in every process; remembers up to ``most`` of them."""
 
     def __init__(self, most: int = 200_000) -> None:
+        super().__init__()
         self.most = most
-        self.known: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word) - (1 << 63)
+        return h
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        out = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
-            out[i] = h
-        return out
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def grams(ids: np.ndarray, n: int) -> np.ndarray:

@@ -49,3 +49,39 @@ def test_alignment_against_plain_dynamic_programme():
 
 def test_tokens_see_through_typography():
     assert tokens("Lеft <b>show</b>n GZ‑45 circ-\n> umference &amp; Straße") == tokens("left shown gz-45 circumference straße")
+
+
+def test_windows_hold_what_the_whole_text_holds():
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        item = r.integers(0, 1 << 40, int(r.integers(8, 60)))
+        doc = r.integers(0, 1 << 40, int(r.integers(50, 3000)))
+        for _ in range(int(r.integers(1, 4))):
+            a, b = np.sort(r.integers(0, len(item), 2))
+            at = int(r.integers(0, len(doc) - (b - a)))
+            doc[at : at + b - a] = item[a:b]
+        own = L.grams(item, L.GRAM)
+        places = np.flatnonzero(np.isin(L.grams(doc, L.GRAM), own))
+        whole, seen = L.held_share(item, doc), L.held_in_windows(item, doc, places)
+        assert seen >= whole or whole * len(item) < 2 * L.LEAST_STRETCH
+
+
+def test_memory_follows_the_window():
+    import tracemalloc
+
+    r = np.random.default_rng(7)
+    item, doc = r.integers(0, 50, 100), r.integers(0, 50, 5_000_000)
+    doc[4_000_000:4_000_100] = item
+    tracemalloc.start()
+    held = L.held_in_windows(item, doc, np.array([1, 2_000_000, 4_000_000, 4_999_999]))
+    assert held == 1.0 and tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+    assert len(L.windows(np.arange(0, 100_000, 7), 100, 100_000)) < 200 and max(b - a for a, b in L.windows(np.arange(0, 100_000, 7), 100, 100_000)) < 10_000
+
+
+def test_joined_grams_give_the_same(spark):
+    item, filler = make(1, 60), make(3, 80)
+    d = spark.createDataFrame([(i, " ".join(filler[:i] + (item if i % 2 else item[:9]) + filler[i:])) for i in range(20)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(make(8, 40)))], "item_id bigint, text string")
+    got = [{(r["doc_id"], r["item_id"]) for r in L.leaked(d, i, broadcast=b).collect()} for b in (10**6, 0)]
+    assert got[0] == got[1] == {(k, 1) for k in range(1, 20, 2)}
