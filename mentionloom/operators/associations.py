@@ -33,6 +33,12 @@ def clip(associations: DataFrame, entities: DataFrame) -> DataFrame:
     return associations.join(entity_values(entities, whole=True), ["pmc_id", "value"], "left_semi").select(*associations.columns)
 
 
+def confirmed(associations: DataFrame, other: DataFrame) -> DataFrame:
+    """Values of a patient that another assignment gives to the patient too, numbered anew in their own order."""
+    kept = associations.join(other.select(*_VALUE), _VALUE, "left_semi")
+    return structure.first_seen(kept, ["v_ord"])
+
+
 def _tagged(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.select(*_VALUE, F.col("v_ord").alias("ord"), F.lit(i).alias("source")) for i, t in enumerate(tables)])
 

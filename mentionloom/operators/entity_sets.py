@@ -66,14 +66,18 @@ def vote(base: DataFrame, sources: DataFrame, n_sources: int, min_votes: int = 2
     return merge(base, select_by_vote(sources, n_sources, min_votes, max_text_length))
 
 
-def locate(rows: DataFrame, passages: DataFrame, offset: str = "offset") -> DataFrame:
-    """``rows`` with p_idx, section, p_off and p_text of the first passage that holds the offset, else nulls.
+def locate(rows: DataFrame, passages: DataFrame, offset: str = "offset", text: bool = True) -> DataFrame:
+    """``rows`` with p_idx, section, p_off and, if wanted, p_text of the first passage that holds the offset, else nulls.
 
-    The spans of an article are few, so they travel as one array; only the passage that is found goes on.
+    The spans of an article are few and small, so they travel as one array; the text of the one passage is fetched afterwards.
     """
-    spans = passages.groupBy("pmc_id").agg(F.array_sort(F.collect_list(F.struct("p_idx", "section", "p_off", "p_end", "text"))).alias("_spans"))
+    spans = passages.groupBy("pmc_id").agg(F.array_sort(F.collect_list(F.struct("p_idx", "section", "p_off", "p_end"))).alias("_spans"))
     found = F.filter("_spans", lambda s: (s["p_off"] <= F.col(offset)) & (F.col(offset) < s["p_end"]))
-    return rows.join(spans, "pmc_id", "left").withColumn("_p", F.get(found, F.lit(0))).select(*rows.columns, "_p.p_idx", "_p.section", "_p.p_off", F.col("_p.text").alias("p_text"))
+    at = rows.join(spans, "pmc_id", "left").withColumn("_p", F.get(found, F.lit(0))).select(*rows.columns, "_p.p_idx", "_p.section", "_p.p_off")
+    if not text:
+        return at
+    texts = passages.select("pmc_id", "p_idx", F.col("text").alias("p_text"))
+    return at.join(texts, ["pmc_id", "p_idx"], "left").select(*rows.columns, "p_idx", "section", "p_off", "p_text")
 
 
 def nested(rows: DataFrame) -> DataFrame:
@@ -94,7 +98,7 @@ def judge_gate(candidates: DataFrame, passages: DataFrame, additions: DataFrame,
     if min_text_length < 0:
         raise ValueError("minimum entity text length must be non-negative")
     flag = lambda df, name: df.select(*KEY).distinct().withColumn(name, F.lit(True))
-    rows = locate(candidates, passages).alias("c")
+    rows = locate(candidates, passages, text=False).alias("c")
     rows = rows.join(flag(additions, "added").alias("a"), same_key("c", "a"), "left").select("c.*", "a.added").alias("c")
     rows = rows.join(flag(judged, "accepted").alias("j"), same_key("c", "j"), "left").select("c.*", "j.accepted")
     gated = F.coalesce("added", F.lit(False)) & (F.length(F.coalesce("text", F.lit(""))) >= min_text_length)

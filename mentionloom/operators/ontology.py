@@ -23,10 +23,10 @@ def latest(terms: DataFrame) -> DataFrame:
     return rows.withColumn("obsolete", F.coalesce("obsolete", F.lit(False))).withColumn("replaced_by", tidy_id(F.col("replaced_by")))
 
 
-def descendants(terms: DataFrame, root: str) -> DataFrame:
-    """(identifier): ``root`` and everything below it; obsolete terms are passed through. Rounds follow the depth; each round visits new terms only."""
+def descendants(terms: DataFrame, root: str | DataFrame) -> DataFrame:
+    """(identifier): ``root``, one id or a table of them, and everything below it; obsolete terms are passed through. Rounds follow the depth; each round visits new terms only."""
     edges = cut(terms.select("identifier", F.explode("parents").alias("p")).select("identifier", tidy_id(F.col("p")).alias("parent")).filter("parent is not null").distinct())
-    fresh = terms.sparkSession.createDataFrame([(root,)], "identifier string")
+    fresh = terms.sparkSession.createDataFrame([(root,)], "identifier string") if isinstance(root, str) else root.select("identifier").distinct()
     known = fresh
     while True:
         below = edges.join(fresh.withColumnRenamed("identifier", "parent"), "parent").select("identifier").distinct()
@@ -55,9 +55,23 @@ def aliases(terms: DataFrame, normalize: Callable[[Column], Column] = normalize_
     return named.unionByName(other).filter("alias <> ''").groupBy("alias", "identifier").agg(F.max("preferred").alias("preferred"))
 
 
+def is_long_enough(alias: Column, min_chars: int = 4, min_letters: int = 2) -> Column:
+    return (F.length(alias) >= min_chars) & (F.length(F.regexp_replace(alias, r"[^\p{L}]", "")) >= min_letters)
+
+
+def long_enough(alias_rows: DataFrame, min_chars: int = 4, min_letters: int = 2) -> DataFrame:
+    return alias_rows.filter(is_long_enough(F.col("alias"), min_chars, min_letters))
+
+
 def admissible(alias_rows: DataFrame, min_chars: int = 4, min_letters: int = 2) -> DataFrame:
-    letters = F.length(F.regexp_replace("alias", r"[^\p{L}]", ""))
-    return alias_rows.filter(~F.col("alias").isin(*GENERIC_ALIASES) & (F.length("alias") >= min_chars) & (letters >= min_letters))
+    return long_enough(alias_rows, min_chars, min_letters).filter(~F.col("alias").isin(*GENERIC_ALIASES))
+
+
+def external_aliases(pairs: DataFrame, terms: DataFrame, within: DataFrame, normalize: Callable[[Column], Column] = normalize_surface) -> DataFrame:
+    """(alias, identifier) of an external dictionary's (alias, identifier) rows: normalised, canonical, and only terms ``within``."""
+    named = pairs.select(normalize(F.col("alias")).alias("alias"), "identifier").filter("alias <> '' and identifier is not null")
+    known = canonical(named, terms).select("alias", F.col("canonical").alias("identifier"))
+    return known.join(within, "identifier", "left_semi").select("alias", "identifier").distinct()
 
 
 def id_frequency(entities: DataFrame, terms: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def placed(entities: DataFrame, passages: DataFrame) -> DataFrame:
 def structural_patients(entities: DataFrame, passages: DataFrame, anchors: DataFrame, previous_distance: int = 3000, next_distance: int = 300, wide_sections: set[str] | None = None, wide_previous_distance: int | None = None, wide_next_distance: int | None = None) -> DataFrame:
     """(pmc_id, e_ord, patient_id): patients named in the mention's sentence, else in its passage, else the nearest before and after within the distances."""
     e = placed(entities, passages).select("pmc_id", "e_ord", "offset", "p_idx", "s_start", "s_end", F.upper(F.coalesce("section", F.lit(""))).alias("section"))
-    a = locate(anchors, passages, "m_off").select("pmc_id", "patient_id", "patient_ord", "m_ord", "m_off", F.coalesce("p_idx", F.lit(-1)).alias("a_idx"))
+    a = locate(anchors, passages, "m_off", text=False).select("pmc_id", "patient_id", "patient_ord", "m_ord", "m_off", F.coalesce("p_idx", F.lit(-1)).alias("a_idx"))
     wide = F.col("section").isin(*wide_sections) if wide_sections else F.lit(False)
     before = F.when(wide, wide_previous_distance if wide_previous_distance is not None else previous_distance).otherwise(previous_distance)
     after = F.when(wide, wide_next_distance if wide_next_distance is not None else next_distance).otherwise(next_distance)
@@ -77,8 +77,8 @@ def by_proximity(entities: DataFrame, passages: DataFrame, anchors: DataFrame, p
     A mention whose passage names a patient too far away is not given to another passage's patient. The only patient of an
     article takes every mention of passages without patients.
     """
-    e = locate(entities.filter(tx.is_positive(F.col("note"))), passages).filter("p_idx is not null").select("pmc_id", "e_ord", "offset", "p_idx", whole_value(F.col("identifier"), F.col("text")).alias("value"))
-    a = locate(anchors, passages, "m_off").select("pmc_id", "patient_id", "m_off", F.col("p_idx").alias("a_idx"))
+    e = locate(entities.filter(tx.is_positive(F.col("note"))), passages, text=False).filter("p_idx is not null").select("pmc_id", "e_ord", "offset", "p_idx", whole_value(F.col("identifier"), F.col("text")).alias("value"))
+    a = locate(anchors, passages, "m_off", text=False).select("pmc_id", "patient_id", "m_off", F.col("p_idx").alias("a_idx"))
     ids = patients.select("pmc_id", "patient_id").distinct().withColumn("_n", F.count("*").over(Window.partitionBy("pmc_id")))
     both = e.join(ids.join(a, ["pmc_id", "patient_id"], "left"), "pmc_id")
     gap = F.coalesce(F.abs(F.col("offset") - F.col("m_off")).cast("bigint"), F.lit(FAR))

@@ -85,6 +85,12 @@ class Tables:
     def aliases(self) -> DataFrame:
         return ontology.aliases(self.terms, self.normalize)
 
+    @cached_property
+    def external(self) -> DataFrame:
+        """The findings of the annotator ``dict`` as a dictionary from outside."""
+        said = self.annotations.filter("annotator = 'dict' and text is not null").select(F.col("text").alias("alias"), F.explode(F.split("identifier", ";")).alias("identifier"))
+        return ontology.external_aliases(said, self.terms, self.terms.filter("NOT obsolete").select("identifier"), self.normalize)
+
     @cached_property
     def left_out(self) -> DataFrame:
         return candidates.surface_precision_left_out(candidates.surface_counts(self.candidates, self.entities, self.normalize))
@@ -139,7 +145,7 @@ def offset_to_passage(t: Tables) -> DataFrame:
 
 
 def merge_entities(t: Tables) -> DataFrame:
-    return _ints(entity_sets.merge(t.entities, t.annotations.filter("annotator = 'dict'")).select(*_OUT), "e_ord")
+    return _ints(entity_sets.merge(t.entities, *[t.annotations.filter(F.col("source") == i) for i in range(len(ANNOTATORS))]).select(*_OUT), "e_ord")
 
 
 def subtract_entities(t: Tables) -> DataFrame:
@@ -151,7 +157,7 @@ def select_entities(t: Tables) -> DataFrame:
 
 
 def vote_entities(t: Tables) -> DataFrame:
-    return _ints(entity_sets.vote(t.annotations.filter("source = 0"), t.ballots, N_SOURCES, 2).select(*_OUT), "e_ord")
+    return _ints(entity_sets.vote(t.entities, t.ballots, N_SOURCES, 2).select(*_OUT), "e_ord")
 
 
 def nested_entities(t: Tables) -> DataFrame:
@@ -270,8 +276,8 @@ def validate_submission(t: Tables) -> DataFrame:
 
 
 def ontology_descendants(t: Tables) -> DataFrame:
-    tops = t.terms.filter(~F.col("obsolete")).filter(F.size(F.coalesce("parents", F.array())) == 0).agg(F.min("identifier")).first()[0]
-    return ontology.descendants(t.terms, tops or "")
+    """Everything that hangs below a live term without parents."""
+    return ontology.descendants(t.terms, t.terms.filter(~F.col("obsolete")).filter(F.size(F.coalesce("parents", F.array())) == 0).select("identifier"))
 
 
 def canonical_ids(t: Tables) -> DataFrame:
@@ -288,9 +294,21 @@ def gazetteer_extract(t: Tables) -> DataFrame:
 
 
 def gazetteer_trained(t: Tables) -> DataFrame:
-    names = ontology.admissible(t.aliases)
-    table_ = gazetteer.alias_table(t.surfaces, gazetteer.most_common_id(t.entities, t.normalize), names, t.dictionary)
-    rows = gazetteer.extract(t.passages, table_, t.fold, expansions=gazetteer.expansions(t.entities, names, t.normalize))
+    rows = gazetteer.extract(t.passages, _trained(t, gazetteer.alias_table), t.fold, expansions=gazetteer.expansions(t.entities, ontology.admissible(t.aliases), t.normalize))
+    return _ints(rows.select(*_OUT), "e_ord")
+
+
+def _trained(t: Tables, how: Callable[..., DataFrame]) -> DataFrame:
+    return cut(how(t.entities, t.passages, t.terms, t.aliases, t.normalize, t.fold, t.external))
+
+
+def gazetteer_leave_one_out(t: Tables) -> DataFrame:
+    """The aliases of every article as all other articles give them, and how often the article holds them."""
+    return _trained(t, gazetteer.left_out_aliases)
+
+
+def gazetteer_left_out_mentions(t: Tables) -> DataFrame:
+    rows = gazetteer.extract(t.passages, _trained(t, gazetteer.left_out_aliases), t.fold, expansions=gazetteer.expansions(t.entities, ontology.admissible(t.aliases), t.normalize))
     return _ints(rows.select(*_OUT), "e_ord")
 
 
@@ -303,7 +321,7 @@ def most_common_id(t: Tables) -> DataFrame:
 
 
 def alias_priority(t: Tables) -> DataFrame:
-    return gazetteer.alias_table(t.surfaces, gazetteer.most_common_id(t.entities, t.normalize), ontology.admissible(t.aliases), t.dictionary)
+    return _trained(t, gazetteer.alias_table)
 
 
 def abbreviation_candidates(t: Tables) -> DataFrame:
@@ -316,7 +334,7 @@ def renested_articles(t: Tables) -> DataFrame:
 
 
 _QUERIES = [
-    passages, patient_mentions, offset_to_passage, gazetteer_extract, gazetteer_trained, merge_entities, subtract_entities, select_entities, vote_entities, nested_entities, overlap_free_candidates,
+    passages, patient_mentions, offset_to_passage, gazetteer_extract, gazetteer_trained, gazetteer_leave_one_out, gazetteer_left_out_mentions, merge_entities, subtract_entities, select_entities, vote_entities, nested_entities, overlap_free_candidates,
     surface_stats, most_common_id, alias_priority, surface_precision, surface_precision_loo, cnn_additions, cnn_fuse, judge_gate, sentence_bounds, negation_flags, proximity_association,
     structural_patients, structure_filter, group_propagation, clip_associations, fuse_patient_count, vote_associations, augment_associations, stabilize_associations, stabilize_structured,
     evaluate_mention, evaluate_document, evaluate_association, evaluate_score, validate_submission, abbreviation_candidates, ontology_descendants, canonical_ids, resolve_alias, renested_articles,
@@ -325,7 +343,7 @@ _QUERIES = [
 
 #: with SQL, which can't say NFKC and case folding: under their own names they compare the simple form that their SQL says, as ``..._nfkc`` the full one
 _SURFACES = [
-    gazetteer_extract, nested_entities, surface_stats, most_common_id, alias_priority, surface_precision, surface_precision_loo, cnn_additions, cnn_fuse, judge_gate, stabilize_associations, resolve_alias,
+    gazetteer_extract, gazetteer_leave_one_out, nested_entities, surface_stats, most_common_id, alias_priority, surface_precision, surface_precision_loo, cnn_additions, cnn_fuse, judge_gate, stabilize_associations, resolve_alias,
 ]
 
 

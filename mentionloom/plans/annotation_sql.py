@@ -75,6 +75,8 @@ _PARTS = {
     "sst": "SELECT l.surface, positive, negative, uppercase_positive, coalesce(o.n, 0) AS occurrences, CASE WHEN o.n > 0 THEN least(1.0, (positive + negative) / o.n) ELSE 0.0 END AS precision FROM lab l LEFT JOIN (SELECT alias, count(*) AS n FROM socc GROUP BY alias) o ON o.alias = l.surface",
     "com": "SELECT surface, identifier, n FROM (SELECT surface, identifier, count(*) AS n, min({'p': pmc_id, 'e': e_ord}) AS seen FROM srf WHERE identifier IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY surface ORDER BY n DESC, seen) = 1",
 }
+_PARTS["idc"] = """SELECT surface, identifier, pmc_id, count(*) AS n, CAST(count(*) FILTER (rn = 1 AND note IS DISTINCT FROM 'NO') AS BIGINT) AS np, min(e_ord) AS seen
+                   FROM (SELECT *, row_number() OVER (PARTITION BY pmc_id, off, len, surface ORDER BY e_ord) AS rn FROM srf WHERE identifier IS NOT NULL) GROUP BY ALL"""
 _HIT = r"""SELECT r.pmc_id, r.p_idx, r.start, a.alias FROM runs r JOIN (SELECT DISTINCT alias, regexp_extract(alias, '^(?:[\p{L}\p{N}]+|.)') AS run FROM @A@) a ON a.run = r.run AND substring(r.low, CAST(r.start AS BIGINT) + 1, length(a.alias)) = a.alias
            WHERE NOT (regexp_matches(a.alias, '[\p{L}\p{N}]$') AND regexp_matches(substring(r.low, CAST(r.start AS BIGINT) + length(a.alias) + 1, 1), '^[\p{L}\p{N}]'))"""
 _PARTS["occ"] = _HIT.replace("@A@", "dict")
@@ -85,10 +87,32 @@ _ORDER.remove("sst"), _ORDER.remove("com")
 _ORDER += ["sst", "com"]
 _NEEDS = {
     "psg": "docs", "pat": "docs", "anc": "pat", "ent": "docs", "aso": "docs", "loc": "ent psg", "snt": "loc", "aloc": "anc psg", "strp": "snt aloc", "ids": "pat", "prox": "snt aloc ids", "near": "prox", "counts": "cnd ent", "loo": "counts",
-    "adds": "docs loo ent", "fused": "adds", "votes": "ann ent", "annd": "ann", "voted": "votes", "als": "trm", "adm": "als", "prim": "trm", "freq": "ent prim trm", "dict": "adm freq", "runs": "psg", "occ": "runs dict", "srf": "ent", "sur": "srf", "socc": "runs sur", "lab": "srf", "sst": "lab socc", "com": "srf",
+    "adds": "docs loo ent", "fused": "adds", "votes": "ann ent", "annd": "ann", "voted": "votes", "als": "trm", "adm": "als", "prim": "trm", "freq": "ent prim trm", "dict": "adm freq", "runs": "psg", "occ": "runs dict", "srf": "ent", "sur": "srf", "socc": "runs sur", "lab": "srf", "idc": "srf", "sst": "lab socc", "com": "srf",
 }
 
 
+
+def _canon(x: str) -> str:
+    """The single ids of a compound id made canonical."""
+    return f"CASE WHEN {x} = '-1' THEN '-1' ELSE (SELECT string_agg(coalesce(t.replaced_by, coalesce(p.main, v.u)), ';' ORDER BY v.i) FROM (SELECT unnest(string_split({x}, ';')) AS u, unnest(range(len(string_split({x}, ';')))) AS i) v LEFT JOIN prim p ON p.alt = v.u LEFT JOIN trm t ON t.identifier = coalesce(p.main, v.u) AND t.obsolete AND t.replaced_by IS NOT NULL) END"
+
+
+_LONG = "length(alias) >= 4 AND length(regexp_replace(alias, '[^\\p{L}]', '', 'g')) >= 2"
+_POOL = {
+    "ext": f"SELECT DISTINCT alias, coalesce(t.replaced_by, coalesce(p.main, u)) AS identifier FROM (SELECT {_norm('text')} AS alias, unnest(string_split(identifier, ';')) AS u FROM ann WHERE annotator = 'dict' AND text IS NOT NULL) LEFT JOIN prim p ON p.alt = u LEFT JOIN trm t ON t.identifier = coalesce(p.main, u) AND t.obsolete AND t.replaced_by IS NOT NULL WHERE alias <> ''",
+    "exl": f"SELECT e.* FROM ext e SEMI JOIN (SELECT identifier FROM trm WHERE NOT obsolete) l ON l.identifier = e.identifier WHERE {_LONG}",
+    "cand": "SELECT alias, identifier, preferred, 1 AS o, 0 AS x FROM adm UNION ALL SELECT alias, identifier, 0, 0, 1 FROM exl",
+    "best": "SELECT alias, max(o) AS named, max(x) AS external, (max({'p': preferred, 'f': coalesce(freq, 0), 'i': b.identifier})).i AS best FROM cand b LEFT JOIN freq f ON f.identifier = b.identifier GROUP BY alias",
+    "uni": "SELECT alias, max(identifier) AS only_ FROM als GROUP BY alias HAVING count(DISTINCT identifier) = 1",
+    "pool": "SELECT coalesce(b.alias, u.alias) AS alias, named, external, best, only_ FROM best b FULL JOIN uni u ON u.alias = b.alias",
+}
+_LOW = "coalesce(occurrences > 0 AND positive + negative > 0 AND precision < 0.4, FALSE)"
+_CHOICE = f"""SELECT alias, source, coalesce(only_, CASE WHEN positive + negative > 0 THEN CASE WHEN source = 'train-abbreviation' THEN {_canon('usual_positive')} ELSE {_canon('usual')} END END, best) AS identifier FROM (
+    SELECT *, CASE WHEN uppercase_positive >= 1 AND length(alias) >= 2 AND regexp_matches(upper(alias), '[A-Z]') AND regexp_full_match(upper(alias), '[A-Z0-9]+([/-][A-Z0-9]+)*') THEN 'train-abbreviation'
+                   WHEN positive + negative > 0 AND precision >= 0.4 AND regexp_matches(alias, '[0-9a-z]') THEN 'train' WHEN named = 1 AND NOT {_LOW} THEN 'ontology'
+                   WHEN only_ IS NOT NULL AND {_LONG} AND positive >= 1 AND precision >= 0.1 THEN 'recovered' WHEN external = 1 AND NOT {_LOW} THEN 'external' END AS source FROM rows_)"""
+
+
 def _with(needs: str, select: str, recursive: bool = False, **extra: str) -> str:
     wanted: set[str] = set()
     todo = needs.split()
@@ -211,10 +235,10 @@ def oracle_sql() -> dict[str, str]:
         "passages": _with("psg", "SELECT pmc_id, CAST(p_idx AS BIGINT) AS p_idx, section, CAST(p_off AS BIGINT) AS p_off, CAST(p_end AS BIGINT) AS p_end FROM psg"),
         "patient_mentions": _with("anc", "SELECT pmc_id, CAST(patient_ord AS BIGINT) AS patient_ord, CAST(m_ord AS BIGINT) AS m_ord, patient_id, CAST(m_off AS BIGINT) AS m_off, CAST(m_len AS BIGINT) AS m_len, m_text FROM anc"),
         "offset_to_passage": _with("loc", f"SELECT {doc_cols}, CAST(coalesce(p_idx, -1) AS BIGINT) AS p_idx FROM loc"),
-        "merge_entities": _with("ent ann", f"SELECT pmc_id, {_E} FROM (SELECT pmc_id, identifier, off, len, text, note, {_ORDERED} FROM (SELECT *, row_number() OVER (PARTITION BY pmc_id, off, len, identifier, note ORDER BY c DESC, e_ord DESC) AS rn FROM (SELECT 0 AS c, pmc_id, e_ord, identifier, off, len, text, note FROM ent UNION ALL SELECT 1, pmc_id, e_ord, identifier, off, len, text, note FROM ann WHERE annotator = 'dict')) WHERE rn = 1)"),
+        "merge_entities": _with("ent ann", f"SELECT pmc_id, {_E} FROM (SELECT pmc_id, identifier, off, len, text, note, {_ORDERED} FROM (SELECT *, row_number() OVER (PARTITION BY pmc_id, off, len, identifier, note ORDER BY c DESC, e_ord DESC) AS rn FROM (SELECT 0 AS c, pmc_id, e_ord, identifier, off, len, text, note FROM ent UNION ALL SELECT 1 + source, pmc_id, e_ord, identifier, off, len, text, note FROM ann)) WHERE rn = 1)"),
         "subtract_entities": _with("ent ann", f"SELECT pmc_id, {_E} FROM (SELECT pmc_id, identifier, off, len, text, note, {_ORDERED} FROM (SELECT *, row_number() OVER (PARTITION BY pmc_id, off, len, identifier, note ORDER BY e_ord DESC) AS rn FROM ann c WHERE NOT EXISTS (SELECT 1 FROM ent b WHERE b.pmc_id = c.pmc_id AND b.off = c.off AND b.len = c.len AND b.identifier = c.identifier AND b.note IS NOT DISTINCT FROM c.note)) WHERE rn = 1)"),
         "select_entities": _with("voted", f"SELECT pmc_id, {_E} FROM (SELECT *, {_ORDERED} FROM voted WHERE length(coalesce(text, '')) <= 40)"),
-        "vote_entities": _with("ann votes", f"SELECT pmc_id, {_E} FROM (SELECT pmc_id, identifier, off, len, text, note, {_ORDERED} FROM (SELECT *, row_number() OVER (PARTITION BY pmc_id, off, len, identifier, note ORDER BY c DESC, e_ord DESC) AS rn FROM (SELECT 0 AS c, pmc_id, e_ord, identifier, off, len, text, note FROM ann WHERE source = 0 UNION ALL SELECT 1, pmc_id, 0, identifier, off, len, text, note FROM votes WHERE votes >= 2)) WHERE rn = 1)"),
+        "vote_entities": _with("ent votes", f"SELECT pmc_id, {_E} FROM (SELECT pmc_id, identifier, off, len, text, note, {_ORDERED} FROM (SELECT *, row_number() OVER (PARTITION BY pmc_id, off, len, identifier, note ORDER BY c DESC, e_ord DESC) AS rn FROM (SELECT 0 AS c, pmc_id, e_ord, identifier, off, len, text, note FROM ent UNION ALL SELECT 1, pmc_id, 0, identifier, off, len, text, note FROM votes WHERE votes >= 2)) WHERE rn = 1)"),
         "nested_entities": _with("fused", f'SELECT {doc_cols}, off AS "offset", len AS length FROM fused a WHERE EXISTS (SELECT 1 FROM fused o WHERE o.pmc_id = a.pmc_id AND o.off <= a.off AND a.off + a.len <= o.off + o.len AND o.len > a.len)'),
         "overlap_free_candidates": _with("cnd ent", 'SELECT pmc_id, c_ord, off AS "offset", len AS length FROM cnd c WHERE NOT EXISTS (SELECT 1 FROM ent b WHERE b.pmc_id = c.pmc_id AND greatest(b.off, c.off) < least(b.off + b.len, c.off + c.len))'),
         "surface_precision": _with("counts", "SELECT surface, round(sum(tp) / sum(total), 9) AS precision, CAST(sum(total) AS BIGINT) AS total FROM counts GROUP BY surface HAVING sum(total) >= 3"),
@@ -255,7 +279,7 @@ def oracle_sql() -> dict[str, str]:
         "abbreviation_candidates": _with("loc ent psg", f"""SELECT pmc_id, {_E} FROM (SELECT *, {_ORDERED} FROM (SELECT DISTINCT r.pmc_id, d.identifier, CAST(p.p_off + r.start AS INTEGER) AS off, CAST(length(r.run) AS INTEGER) AS len, r.run AS text, CAST(NULL AS VARCHAR) AS note
             FROM acr r JOIN def d ON d.pmc_id = r.pmc_id AND d.acronym = r.run JOIN psg p ON p.pmc_id = r.pmc_id AND p.p_idx = r.p_idx) c WHERE NOT EXISTS (SELECT 1 FROM ent e WHERE e.pmc_id = c.pmc_id AND e.off = c.off AND e.len = c.len AND e.identifier = c.identifier))""", **_ABBREVIATION_PARTS),
         "validate_submission": _with("docs psg", _VALIDATE, **_VALIDATE_PARTS),
-        "ontology_descendants": _with("trm", "SELECT identifier FROM reach", recursive=True, edges=f"SELECT DISTINCT identifier, parent FROM (SELECT identifier, {_tidy('p')} AS parent FROM (SELECT identifier, unnest(parents) AS p FROM trm)) WHERE parent IS NOT NULL", reach="SELECT min(identifier) AS identifier FROM trm WHERE NOT obsolete AND coalesce(len(parents), 0) = 0 UNION SELECT e.identifier FROM edges e JOIN reach r ON e.parent = r.identifier"),
+        "ontology_descendants": _with("trm", "SELECT identifier FROM reach", recursive=True, edges=f"SELECT DISTINCT identifier, parent FROM (SELECT identifier, {_tidy('p')} AS parent FROM (SELECT identifier, unnest(parents) AS p FROM trm)) WHERE parent IS NOT NULL", reach="SELECT identifier FROM trm WHERE NOT obsolete AND coalesce(len(parents), 0) = 0 UNION SELECT e.identifier FROM edges e JOIN reach r ON e.parent = r.identifier"),
         "canonical_ids": _with("trm prim", "SELECT i.identifier, coalesce(t.replaced_by, p.main, i.identifier) AS canonical FROM (SELECT identifier FROM trm UNION SELECT unnest(alt_ids) FROM trm) i LEFT JOIN prim p ON p.alt = i.identifier LEFT JOIN trm t ON t.identifier = coalesce(p.main, i.identifier) AND t.obsolete AND t.replaced_by IS NOT NULL WHERE i.identifier IS NOT NULL"),
         "resolve_alias": _with("dict", "SELECT alias, identifier FROM dict"),
         "gazetteer_extract": _with("occ", rf"""SELECT pmc_id, {_E} FROM (SELECT *, {_ORDERED} FROM (SELECT DISTINCT o.pmc_id, d.identifier, CAST(p.p_off + o.start AS INTEGER) AS off, CAST(length(o.alias) AS INTEGER) AS len, substring(p.text, CAST(o.start AS BIGINT) + 1, length(o.alias)) AS text,
@@ -263,11 +287,19 @@ def oracle_sql() -> dict[str, str]:
             FROM occ o JOIN dict d ON d.alias = o.alias JOIN psg p ON p.pmc_id = o.pmc_id AND p.p_idx = o.p_idx))"""),
         "surface_stats": _with("sst", "SELECT surface, positive, negative, uppercase_positive, occurrences, round(precision, 9) AS precision FROM sst"),
         "most_common_id": _with("com", "SELECT surface, identifier, n FROM com"),
-        "alias_priority": _with("sst com adm dict", "SELECT alias, identifier, source FROM (SELECT r.alias, coalesce(u.one, c.identifier, d.identifier) AS identifier, ['train-abbreviation', 'train', 'ontology', 'recovered'][r.rank + 1] AS source FROM (SELECT alias, min(rank) AS rank FROM ranks GROUP BY alias) r LEFT JOIN uni u ON u.alias = r.alias LEFT JOIN com c ON c.surface = r.alias LEFT JOIN dict d ON d.alias = r.alias) WHERE identifier IS NOT NULL",
-            uni="SELECT alias, max(identifier) AS one FROM adm GROUP BY alias HAVING count(DISTINCT identifier) = 1",
-            tr="SELECT *, uppercase_positive >= 1 AND length(surface) >= 2 AND regexp_matches(upper(surface), '[A-Z]') AND regexp_full_match(upper(surface), '[A-Z0-9]+([/-][A-Z0-9]+)*') AS abbr FROM sst",
-            nm="SELECT a.alias, count(DISTINCT a.identifier) AS ids, any_value(s.precision) AS precision, any_value(s.occurrences) AS occurrences, any_value(s.positive) AS positive FROM adm a LEFT JOIN sst s ON s.surface = a.alias GROUP BY a.alias",
-            ranks="SELECT surface AS alias, 0 AS rank FROM tr WHERE abbr UNION ALL SELECT surface, 1 FROM tr WHERE NOT abbr AND precision >= 0.4 AND regexp_matches(surface, '[0-9a-z]') UNION ALL SELECT alias, 2 FROM nm WHERE NOT coalesce(occurrences > 0 AND precision < 0.4, FALSE) UNION ALL SELECT alias, 3 FROM nm WHERE ids = 1 AND positive >= 1 AND precision >= 0.1"),
+        "alias_priority": _with("sst als adm freq ann trm prim idc", f"SELECT alias, identifier, source FROM ({_CHOICE}) WHERE identifier IS NOT NULL AND source IS NOT NULL", **_POOL,
+            usu="SELECT surface, (min({'n': -n, 's': s, 'i': identifier})).i AS usual, (min({'n': -np, 's': s, 'i': identifier}) FILTER (np > 0)).i AS usual_positive FROM (SELECT surface, identifier, sum(n) AS n, sum(np) AS np, min({'p': pmc_id, 'e': seen}) AS s FROM idc GROUP BY ALL) GROUP BY surface",
+            rows_="SELECT coalesce(s.surface, p.alias) AS alias, s.* EXCLUDE surface, u.usual, u.usual_positive, p.* EXCLUDE alias FROM sst s FULL JOIN pool p ON p.alias = s.surface LEFT JOIN usu u ON u.surface = s.surface"),
+        "gazetteer_leave_one_out": _with("als adm freq ann trm prim idc srf runs", f"SELECT c.pmc_id, c.alias, identifier, source, n FROM ({_CHOICE.replace('SELECT alias', 'SELECT pmc_id, alias')}) c JOIN own o ON o.pmc_id = c.pmc_id AND o.alias = c.alias WHERE identifier IS NOT NULL AND source IS NOT NULL", **_POOL,
+            every="SELECT alias FROM pool UNION SELECT surface FROM srf",
+            own=f"SELECT pmc_id, alias, count(*) AS n FROM ({_HIT.replace('@A@', 'every')}) GROUP BY ALL",
+            lad=_PARTS["lab"].replace("SELECT surface, count", "SELECT pmc_id, surface, count").replace("GROUP BY surface", "GROUP BY pmc_id, surface"),
+            # every article against all others, plainly
+            los="SELECT o.pmc_id, o.alias, sum(l.positive) AS positive, sum(l.negative) AS negative, sum(l.uppercase_positive) AS uppercase_positive FROM own o JOIN lad l ON l.surface = o.alias AND l.pmc_id <> o.pmc_id GROUP BY ALL",
+            loc2="SELECT o.pmc_id, o.alias, sum(x.n) AS occurrences FROM own o JOIN own x ON x.alias = o.alias AND x.pmc_id <> o.pmc_id GROUP BY ALL",
+            loi="SELECT o.pmc_id, o.alias, c.identifier, sum(c.n) AS n, sum(c.np) AS np, min({'p': c.pmc_id, 'e': c.seen}) AS s FROM own o JOIN idc c ON c.surface = o.alias AND c.pmc_id <> o.pmc_id GROUP BY ALL",
+            lou="SELECT pmc_id, alias, (min({'n': -n, 's': s, 'i': identifier})).i AS usual, (min({'n': -np, 's': s, 'i': identifier}) FILTER (np > 0)).i AS usual_positive FROM loi GROUP BY ALL",
+            rows_="SELECT o.pmc_id, o.alias, l.positive, l.negative, l.uppercase_positive, coalesce(c.occurrences, 0) AS occurrences, CASE WHEN c.occurrences > 0 THEN least(1.0, (l.positive + l.negative) / c.occurrences) ELSE 0.0 END AS precision, u.usual, u.usual_positive, p.* EXCLUDE alias FROM own o LEFT JOIN los l ON l.pmc_id = o.pmc_id AND l.alias = o.alias LEFT JOIN loc2 c ON c.pmc_id = o.pmc_id AND c.alias = o.alias LEFT JOIN lou u ON u.pmc_id = o.pmc_id AND u.alias = o.alias LEFT JOIN pool p ON p.alias = o.alias"),
     }
 
 
