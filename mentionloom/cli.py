@@ -13,14 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionloom.functions import text as tx
-from mentionloom.operators import abbreviations, associations, candidates, entity_sets, evaluation, gazetteer, model_io, ontology, structure, validation
+from mentionloom.operators import abbreviations, associations, batching, candidates, entity_sets, evaluation, gazetteer, model_io, ontology, structure, validation
 from mentionloom.session import settle
 from mentionloom.sources import articles as src
 from mentionloom.sources import files
 
 
 def _load(spark: SparkSession, path: str, schema: str = files.ARTICLE) -> SimpleNamespace:
-    docs = src.latest_articles(files.read_jsonl(spark, path, schema))
+    return _tables(src.latest_articles(files.read_jsonl(spark, path, schema)))
+
+
+def _tables(docs: DataFrame) -> SimpleNamespace:
     t = SimpleNamespace(docs=docs, entities=src.entities(docs))
     if "full_text" in docs.columns:
         t.passages, t.patients, t.anchors = src.passages(docs), src.patients(docs), src.anchors(docs)
@@ -34,7 +37,17 @@ def _scored(spark: SparkSession, path: str) -> DataFrame:
     return e.select("pmc_id", "c_ord", "e.identifier", "e.type", "e.offset", "e.length", "e.text", "e.note", "e.score")
 
 
-def _store(docs: DataFrame, entities: DataFrame, values: DataFrame | None, out: str, order: DataFrame | None = None) -> None:
+def _first(docs: DataFrame, most: int | None) -> DataFrame:
+    """The first articles in order of delivery, where a number is asked for."""
+    return docs if most is None else docs.orderBy("article_row").limit(most)
+
+
+def _require(docs: DataFrame, **others: SimpleNamespace) -> None:
+    for what, other in others.items():
+        entity_sets.require_partners(docs, other.docs, what.replace("_", " "))
+
+
+def _store(docs: DataFrame, entities: DataFrame, values: DataFrame | None, out: str, order: DataFrame | None = None, mode: str = "overwrite") -> None:
     rows = docs.select("pmc_id", "pmid", "article_row").join(src.nest_entities(entities), "pmc_id", "left")
     if values is not None:
         rows = rows.join(src.nest_associations(values, order), "pmc_id", "left")
@@ -42,7 +55,7 @@ def _store(docs: DataFrame, entities: DataFrame, values: DataFrame | None, out:
         rows = rows.withColumn("association", F.lit(None))
     none = F.array().cast(f"array<{files.ENTITY}>")
     listed = F.coalesce(F.col("association").cast("array<struct<patient_id:string,phenotype:array<string>>>"), F.array().cast("array<struct<patient_id:string,phenotype:array<string>>>"))
-    files.write_jsonl(rows.orderBy("article_row").select("pmc_id", "pmid", F.coalesce("entities", none).alias("entities"), listed.alias("association")), out)
+    files.write_jsonl(rows.orderBy("article_row").select("pmc_id", "pmid", F.coalesce("entities", none).alias("entities"), listed.alias("association")), out, mode)
 
 
 def _terms(spark: SparkSession, path: str) -> DataFrame:
@@ -114,9 +127,11 @@ def fuse_associations(spark, a):
 
 def vote_associations(spark, a):
     docs, base, sources = _load(spark, a.articles), _load(spark, a.base), [_load(spark, p) for p in a.sources]
+    _require(docs.docs, base_row=base, **{f"association_source_{i}": s for i, s in enumerate(sources, 1)})
     values = associations.fuse_by_vote(docs.patients, [s.associations for s in sources], a.min_votes, [i - 1 for i in a.single_sources] if a.single_sources else None, a.single_min_votes)
     if a.previous_distance is not None or a.next_distance is not None:
-        values = structure.filter_by_structure(values, base.entities, docs.passages, docs.anchors, docs.patients, previous_distance=1500 if a.previous_distance is None else a.previous_distance, next_distance=300 if a.next_distance is None else a.next_distance)
+        wide = {"wide_sections": {s.upper() for s in a.wide_sections}, "wide_previous_distance": a.wide_previous_distance, "wide_next_distance": a.wide_next_distance} if a.wide_sections else {}
+        values = structure.filter_by_structure(values, base.entities, docs.passages, docs.anchors, docs.patients, previous_distance=1500 if a.previous_distance is None else a.previous_distance, next_distance=300 if a.next_distance is None else a.next_distance, **wide)
     if a.propagate_groups:
         values = structure.propagate_groups(values, base.entities, docs.passages, docs.anchors, docs.patients)
     if a.command == "augment-associations":
@@ -126,12 +141,17 @@ def vote_associations(spark, a):
 
 def stabilize_associations(spark, a):
     docs, base, final, added, told = (_load(spark, p) for p in (a.articles, a.base, a.entities, a.additions, a.addition_associations))
-    values = associations.stabilize(docs.patients, docs.passages, docs.anchors, base.associations, final.entities, added.entities, told.associations, set(a.sections) if a.sections else None, final_structure_filter=a.structure_filter, preserve_groups=a.preserve_groups)
+    _require(docs.docs, base_row=base, entity_row=final, addition_row=added, addition_association_row=told)
+    values = associations.stabilize(
+        docs.patients, docs.passages, docs.anchors, base.associations, final.entities, added.entities, told.associations, set(a.sections) if a.sections else None, reject_negated=not a.allow_negated, reject_nested=not a.allow_nested,
+        new_values_only=not a.allow_existing_values, final_structure_filter=a.structure_filter, previous_distance=a.previous_distance, next_distance=a.next_distance, preserve_groups=a.preserve_groups,
+    )
     _store(docs.docs, final.entities, values, a.output, docs.patients)
 
 
 def fuse_candidates(spark, a):
     base, scored = _load(spark, a.base), _scored(spark, a.candidates)
+    entity_sets.require_partners(base.docs, files.read_jsonl(spark, a.candidates, files.SCORED), "candidate row")
     rules = candidates.CandidateRules(a.min_score, a.min_text_length, a.max_per_identifier, not a.allow_overlap, a.new_identifiers_only, a.surface_min_precision, a.surface_min_count)
     precision = None
     if a.gold:
@@ -145,6 +165,7 @@ def fuse_candidates(spark, a):
 
 def filter_judged_entities(spark, a):
     docs, pred, added, judged = (_load(spark, p) for p in (a.articles, a.base, a.additions, a.judged))
+    _require(pred.docs, article=docs, addition_row=added, judged_row=judged)
     kept = entity_sets.judge_gate(pred.entities, docs.passages, added.entities, judged.entities, set(a.sections or ()), a.min_text_length)
     _store(pred.docs, kept, pred.associations, a.output, docs.patients)
 
@@ -155,34 +176,56 @@ def abbreviation_candidates(spark, a):
 
 
 def predict(spark, a):
-    docs, train = _load(spark, a.articles), _load(spark, a.training)
-    terms = _terms(spark, a.ontology)
-    names = ontology.admissible(ontology.aliases(terms, within=ontology.descendants(terms, a.root)))
-    stats = gazetteer.surface_stats(train.entities, train.passages, tx.normalize_surface)
-    table = gazetteer.alias_table(stats, gazetteer.most_common_id(train.entities, tx.normalize_surface), names, ontology.resolve(names, ontology.id_frequency(train.entities, terms)))
-    entities = gazetteer.extract(docs.passages, table, root=a.root, expansions=gazetteer.expansions(train.entities, names, tx.normalize_surface))
+    docs, train, terms = _load(spark, a.articles), _load(spark, a.training), _terms(spark, a.ontology)
+    todo = _first(docs.docs, a.limit)
+    if a.resume:
+        todo = files.pending(todo, files.read_jsonl(spark, a.output))
+    if todo.isEmpty():
+        return None
+    docs = _tables(todo)
+    within = ontology.descendants(terms, a.root)
+    names = ontology.aliases(terms, within=within)
+    external = ontology.external_aliases(files.read_dictionary(spark, a.dictionary), terms, within) if a.dictionary else None
+    build = gazetteer.left_out_aliases if a.leave_one_out else gazetteer.alias_table
+    table = build(train.entities, train.passages, terms, names, tx.normalize_surface, external=external, min_precision=a.train_min_precision, recovered_precision=None if a.no_recover_exact_train_aliases else 0.10, synonyms=not a.no_hpo_synonyms)
+    entities = gazetteer.extract(docs.passages, table, root=a.root, expansions=gazetteer.expansions(train.entities, ontology.admissible(names), tx.normalize_surface))
     values = structure.by_proximity(entities, docs.passages, docs.anchors, docs.patients)
     if a.propagate_groups:
         values = structure.propagate_groups(values, entities, docs.passages, docs.anchors, docs.patients)
-    _store(docs.docs, entities, values, a.output, docs.patients)
+    _store(docs.docs, entities, values, a.output, docs.patients, "append" if a.resume else "overwrite")
+    written = files.read_jsonl(spark, a.output).join(todo.select("pmc_id"), "pmc_id", "left_semi")
+    return int(not validation.validate(written, todo).isEmpty())
 
 
 def replies_from_cache(spark, a):
     """judge-entities, judge-associations, discover-entities: requests whose replies the cache holds; the others are written out to be asked."""
     docs, base = _load(spark, a.articles), _load(spark, a.base)
-    from mentionloom.operators.batching import fixed_batches
-
-    rows = model_io.candidate_context(base.entities.filter(tx.is_positive(F.col("note"))), docs.passages)
-    rows = fixed_batches(rows, "pmc_id", ["e_ord"], a.batch_size)
-    requests = model_io.judge_requests(rows) if a.command == "judge-entities" else model_io.association_requests(rows, docs.patients)
+    todo = _first(docs.docs, a.limit).select("pmc_id")
+    docs.docs, base.entities = docs.docs.join(todo, "pmc_id", "left_semi"), base.entities.join(todo, "pmc_id", "left_semi")
+    _require(docs.docs, base_row=base)
+    if a.command == "discover-entities":
+        rows = docs.passages.join(todo, "pmc_id", "left_semi")
+        requests = model_io.discovery_requests(rows, a.chunk_size)
+    else:
+        rows = model_io.candidate_context(base.entities.filter(tx.is_positive(F.col("note"))), docs.passages)
+        rows = batching.fixed_batches(rows, "pmc_id", ["e_ord"], a.batch_size)
+        requests = model_io.judge_requests(rows) if a.command == "judge-entities" else model_io.association_requests(rows, docs.patients)
     cache = model_io.read_cache(spark, a.cache)
     requests.join(cache, "key", "left_anti").select("key", "payload").write.mode("overwrite").json(f"{a.output}.requests")
     answered = requests.join(cache.select("key", "reply").dropDuplicates(["key"]), "key")
     if a.command == "judge-entities":
-        kept = model_io.judged_entities(rows, answered).select(*base.entities.columns)
+        kept = model_io.judged_entities(rows, answered, a.include_uncertain).select(*base.entities.columns)
         _store(docs.docs, entity_sets.merge(kept, base.entities.filter("note = 'NO'")), base.associations, a.output, docs.patients)
+    elif a.command == "judge-associations":
+        values = model_io.assigned_values(rows, answered, docs.patients)
+        if a.intersect_proximity:
+            values = associations.confirmed(values, structure.by_proximity(base.entities, docs.passages, docs.anchors, docs.patients))
+        _store(docs.docs, base.entities, values, a.output, docs.patients)
     else:
-        _store(docs.docs, base.entities, model_io.assigned_values(rows, answered, docs.patients), a.output, docs.patients)
+        terms = _terms(spark, a.ontology)
+        aliases = ontology.resolve(ontology.aliases(terms, within=ontology.descendants(terms, a.root)), ontology.id_frequency(base.entities, terms))
+        found = model_io.discovered_entities(answered, docs.passages, aliases, base.entities, tx.normalize_surface)
+        _store(docs.docs, entity_sets.merge(base.entities, found), base.associations, a.output, docs.patients)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -219,14 +262,19 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--single-sources", type=int, nargs="+", help="numbers from 1")
         c.add_argument("--single-min-votes", type=int)
         c.add_argument("--propagate-groups", action="store_true")
+        c.add_argument("--wide-sections", nargs="+")
+        c.add_argument("--wide-previous-distance", type=int)
+        c.add_argument("--wide-next-distance", type=int)
         distances.append(c)
     for c in distances:
         c.add_argument("--previous-distance", type=int)
         c.add_argument("--next-distance", type=int)
     c = command("stabilize-associations", stabilize_associations, "articles", "base", "entities", "additions", "addition-associations")
     c.add_argument("--sections", nargs="+")
-    c.add_argument("--structure-filter", action="store_true")
-    c.add_argument("--preserve-groups", action="store_true")
+    for flag in ("structure-filter", "preserve-groups", "allow-negated", "allow-nested", "allow-existing-values"):
+        c.add_argument(f"--{flag}", action="store_true")
+    c.add_argument("--previous-distance", type=int, default=4000)
+    c.add_argument("--next-distance", type=int, default=300)
     c = command("fuse-candidates", fuse_candidates, "base", "candidates", "training?", "gold?", "additions-output?")
     c.add_argument("--min-score", type=float, default=0.9997)
     c.add_argument("--min-text-length", type=int, default=6)
@@ -239,11 +287,21 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--sections", nargs="+")
     c.add_argument("--min-text-length", type=int, default=0)
     command("abbreviation-candidates", abbreviation_candidates, "articles", "base")
-    c = command("predict", predict, "articles", "training", "ontology")
+    c = command("predict", predict, "articles", "training", "ontology", "dictionary?")
     c.add_argument("--root", default="HP:0000118")
-    c.add_argument("--propagate-groups", action="store_true")
+    c.add_argument("--train-min-precision", type=float, default=0.40)
+    c.add_argument("--limit", type=int)
+    for flag in ("leave-one-out", "no-recover-exact-train-aliases", "no-hpo-synonyms", "propagate-groups", "resume"):
+        c.add_argument(f"--{flag}", action="store_true")
     for name, size in (("judge-entities", 40), ("judge-associations", 30)):
-        command(name, replies_from_cache, "articles", "base", "cache").add_argument("--batch-size", type=int, default=size)
+        c = command(name, replies_from_cache, "articles", "base", "cache")
+        c.add_argument("--batch-size", type=int, default=size)
+        c.add_argument("--limit", type=int)
+        c.add_argument("--include-uncertain" if name == "judge-entities" else "--intersect-proximity", action="store_true")
+    c = command("discover-entities", replies_from_cache, "articles", "base", "cache", "ontology")
+    c.add_argument("--root", default="HP:0000118")
+    c.add_argument("--chunk-size", type=int, default=12_000)
+    c.add_argument("--limit", type=int)
     return p
 
 

@@ -164,16 +164,16 @@ def most_common_id(entities: DataFrame, normalize: Callable[[Column], Column]) -
     return counts.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("surface", "identifier", "n")
 
 
-def name_pool(ontology_aliases: DataFrame, frequency: DataFrame, external: DataFrame | None = None) -> DataFrame:
+def name_pool(ontology_aliases: DataFrame, frequency: DataFrame, external: DataFrame | None = None, synonyms: bool = True) -> DataFrame:
     """(alias, only, named, external, best): of the ontology's aliases and an external dictionary's the single identifier of the ontology, which sources admit the alias, and the best identifier.
 
     ``ontology_aliases`` is (alias, identifier, preferred), ``external`` (alias, identifier). The best is, of those for which
-    the alias is the preferred name, or else of all, the most frequent, ties to the greatest.
+    the alias is the preferred name, or else of all, the most frequent, ties to the greatest. Without ``synonyms`` only preferred names are a source.
     """
     own = ontology.admissible(ontology_aliases).select("alias", "identifier", "preferred", F.lit(1).alias("o"), F.lit(0).alias("x"))
     if external is not None:
         own = own.unionByName(ontology.long_enough(external).select("alias", "identifier", F.lit(0).alias("preferred"), F.lit(0).alias("o"), F.lit(1).alias("x")))
-    pool = own.join(frequency, "identifier", "left").groupBy("alias").agg(F.max("o").alias("named"), F.max("x").alias("external"), F.max_by("identifier", F.struct("preferred", F.coalesce("freq", F.lit(0)), "identifier")).alias("best"))
+    pool = own.join(frequency, "identifier", "left").groupBy("alias").agg(F.max(F.col("o") if synonyms else F.col("o") * F.col("preferred")).alias("named"), F.max("x").alias("external"), F.max_by("identifier", F.struct("preferred", F.coalesce("freq", F.lit(0)), "identifier")).alias("best"))
     unique = ontology_aliases.groupBy("alias").agg(F.countDistinct("identifier").alias("ids"), F.max("identifier").alias("only")).filter("ids = 1").select("alias", "only")
     return pool.join(unique, "alias", "full")
 
@@ -182,7 +182,7 @@ def name_pool(ontology_aliases: DataFrame, frequency: DataFrame, external: DataF
 SOURCES = ("train-abbreviation", "train", "ontology", "recovered", "external")
 
 
-def choose_aliases(stats: DataFrame, usual: DataFrame, pool: DataFrame, pairs: DataFrame | None = None, min_precision: float = 0.40, recovered_precision: float = 0.10) -> DataFrame:
+def choose_aliases(stats: DataFrame, usual: DataFrame, pool: DataFrame, pairs: DataFrame | None = None, min_precision: float = 0.40, recovered_precision: float | None = 0.10) -> DataFrame:
     """(keys, alias, identifier, source): for each alias its first source in the order of ``SOURCES`` and its identifier.
 
     ``stats``, ``usual`` (surface, usual, usual_positive) and ``pool`` hold for all articles; or, where ``pairs`` (pmc_id,
@@ -197,7 +197,7 @@ def choose_aliases(stats: DataFrame, usual: DataFrame, pool: DataFrame, pairs: D
     abbreviation = (F.col("uppercase_positive") >= 1) & tx.is_uppercase_abbreviation(F.upper("alias"))
     trained = (labels > 0) & (F.col("precision") >= min_precision) & F.col("alias").rlike("[0-9a-z]")
     low = F.coalesce((F.col("occurrences") > 0) & (labels > 0) & (F.col("precision") < min_precision), F.lit(False))
-    recovered = F.col("only").isNotNull() & ontology.is_long_enough(F.col("alias")) & (F.col("positive") >= 1) & (F.col("precision") >= recovered_precision)
+    recovered = F.lit(recovered_precision is not None) & F.col("only").isNotNull() & ontology.is_long_enough(F.col("alias")) & (F.col("positive") >= 1) & (F.col("precision") >= (recovered_precision or 0.0))
     source = F.when(abbreviation, SOURCES[0]).when(trained, SOURCES[1]).when((F.col("named") == 1) & ~low, SOURCES[2]).when(recovered, SOURCES[3]).when((F.col("external") == 1) & ~low, SOURCES[4])
     told = F.when(labels > 0, F.when(F.col("source") == SOURCES[0], F.col("usual_positive")).otherwise(F.col("usual")))
     return rows.withColumn("source", source).select(*keys, F.coalesce("only", told, "best").alias("identifier"), "source").filter("identifier is not null and source is not null")
@@ -214,16 +214,16 @@ def canonical_usual(usual: DataFrame, terms: DataFrame) -> DataFrame:
     return usual
 
 
-def alias_table(entities: DataFrame, passages: DataFrame, terms: DataFrame, ontology_aliases: DataFrame, normalize: Callable[[Column], Column], fold: Callable[[str], str] = fold_same, external: DataFrame | None = None, min_precision: float = 0.40, recovered_precision: float = 0.10) -> DataFrame:
+def alias_table(entities: DataFrame, passages: DataFrame, terms: DataFrame, ontology_aliases: DataFrame, normalize: Callable[[Column], Column], fold: Callable[[str], str] = fold_same, external: DataFrame | None = None, min_precision: float = 0.40, recovered_precision: float | None = 0.10, synonyms: bool = True) -> DataFrame:
     """(alias, identifier, source) that training articles, ontology and external dictionary give together."""
-    pool = name_pool(ontology_aliases, ontology.id_frequency(entities, terms), external)
+    pool = name_pool(ontology_aliases, ontology.id_frequency(entities, terms), external, synonyms)
     usual = canonical_usual(total_usual(identifier_counts(entities, normalize)), terms)
     return choose_aliases(surface_stats(entities, passages, normalize, fold), usual, pool, None, min_precision, recovered_precision)
 
 
-def left_out_aliases(entities: DataFrame, passages: DataFrame, terms: DataFrame, ontology_aliases: DataFrame, normalize: Callable[[Column], Column], fold: Callable[[str], str] = fold_same, external: DataFrame | None = None, min_precision: float = 0.40, recovered_precision: float = 0.10) -> DataFrame:
+def left_out_aliases(entities: DataFrame, passages: DataFrame, terms: DataFrame, ontology_aliases: DataFrame, normalize: Callable[[Column], Column], fold: Callable[[str], str] = fold_same, external: DataFrame | None = None, min_precision: float = 0.40, recovered_precision: float | None = 0.10, synonyms: bool = True) -> DataFrame:
     """(pmc_id, alias, identifier, source, n) of the aliases that occur in an article, as all other articles, the ontology and the dictionary give them: totals less the article's own part."""
-    pool = cut(name_pool(ontology_aliases, ontology.id_frequency(entities, terms), external))
+    pool = cut(name_pool(ontology_aliases, ontology.id_frequency(entities, terms), external, synonyms))
     labels = cut(label_counts(entities, normalize))
     every = pool.select("alias").unionByName(labels.select(F.col("surface").alias("alias"))).distinct()
     own = cut(occurrences(passages, every, fold).groupBy("pmc_id", "alias").agg(F.count("*").alias("n")))
@@ -244,6 +244,16 @@ def left_out_aliases(entities: DataFrame, passages: DataFrame, terms: DataFrame,
     return choose_aliases(stats, usual, pool, own.select("pmc_id", "alias"), min_precision, recovered_precision).join(own, ["pmc_id", "alias"])
 
 
+def _expanded(hits: DataFrame, expansions: DataFrame) -> DataFrame:
+    """Keys of abbreviation hits in capitals that stand in brackets right after a long name of one of their ids."""
+    long = expansions.select("identifier", F.regexp_replace("name", "[-/]", " ").alias("name")).filter(F.length("name") >= 5)
+    prefix = F.regexp_replace(tx.normalize_surface(F.col("prefix")), "[-/]", " ")
+    short = hits.filter((F.col("source") == "train-abbreviation") & tx.is_uppercase_abbreviation(F.col("said"))).withColumn("before", prefix).filter(F.col("before").endswith("("))
+    bare = F.rtrim(F.expr("substring(before, 1, length(before) - 1)"))
+    parts = short.select("pmc_id", "p_idx", "start", "alias", bare.alias("before"), F.explode(F.split("identifier", ";")).alias("unit"))
+    return parts.join(long.withColumnRenamed("identifier", "unit"), "unit").filter(F.col("before").endswith(F.col("name"))).select("pmc_id", "p_idx", "start", "alias").distinct()
+
+
 def extract(passages: DataFrame, alias_rows: DataFrame, fold: Callable[[str], str] = fold_same, root: str | None = None, expansions: DataFrame | None = None) -> DataFrame:
     """Mentions of (alias, identifier) in the passages, with note NO where a cue before or after negates them; rows with a pmc_id hold for that article.
 

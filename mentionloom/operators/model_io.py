@@ -19,7 +19,7 @@ from mentionloom.functions import jsontext
 from mentionloom.functions import text as tx
 from mentionloom.operators import entity_sets as es
 from mentionloom.operators import structure
-from mentionloom.operators.batching import fixed_batches
+from mentionloom.operators.batching import fixed_batches, greedy_chunks
 
 CACHE = "key string, model string, reply string"
 
@@ -138,6 +138,15 @@ def assigned_values(batch_rows: DataFrame, answered: DataFrame, patients: DataFr
     return structure.first_seen(rows.withColumn("value", structure.whole_value(F.col("identifier"), F.col("text"))), ["offset", "e_ord"])
 
 
+def discovery_requests(passages: DataFrame, most: int = 12_000) -> DataFrame:
+    """One request per (pmc_id, chunk): passages up to so many characters, to be read for findings."""
+    chunks = greedy_chunks(passages, "pmc_id", "p_idx", F.length("text") + 100, most)
+    item = F.struct(F.col("p_idx").alias("passage_index"), "section", "text")
+    rows = passages.join(chunks, ["pmc_id", "p_idx"]).groupBy("pmc_id", "chunk").agg(F.array_sort(F.collect_list(item)).alias("passages"))
+    task = F.lit("Name every phenotype finding of a patient as it is written. Answer {\"entities\": [{\"passage_index\": 0, \"start\": 0, \"text\": \"\", \"negated\": false}]}.")
+    return with_key(rows, F.to_json(F.struct(task.alias("task"), "pmc_id", "passages")))
+
+
 def discovered_entities(answered: DataFrame, passages: DataFrame, alias_ids: DataFrame, known: DataFrame, normalize: Callable[[Column], Column]) -> DataFrame:
     """Mentions that a reply proposes by passage, start and text: placed at the exact occurrence nearest to the declared start and linked by exact alias; known spans are left out."""
     proposal = "array<struct<passage_index:int,start:int,text:string,negated:boolean>>"

@@ -22,9 +22,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = ARTICLE) -> DataFra
     return rows.withColumn("article_row", F.monotonically_increasing_id())
 
 
-def write_jsonl(rows: DataFrame, path: str) -> None:
+def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines with null fields kept; the committer renames finished files only."""
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    rows.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def read_obo(spark: SparkSession, path: str) -> DataFrame:

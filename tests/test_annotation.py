@@ -409,3 +409,60 @@ def test_value_requests(spark):
     assert values(model_io.chosen_values(batches, answered)) == {"P1": ["HP:2", "HP:4", "HP:5"]}
     both = model_io.consensus(structure.structural_patients(t.entities, t.passages, t.anchors, next_distance=0), structure.structural_patients(t.entities, t.passages, t.anchors))
     assert values(model_io.values_of(both, t.entities)) == {"P1": ["HP:4;HP:5"], "P2": ["HP:2", "HP:4;HP:5"]}
+
+
+def test_dictionary_of_five_sources_and_leave_one_out(spark, tmp_path):
+    """Against counting by hand: totals, an article's own part, and who decides the identifier."""
+    rows = [
+        article("PMC1", "Wobble and wobble. Low tone (LT).", entities=[entity("HP:1", 0, "Wobble"), entity("HP:8;HP:11", 29, "LT"), entity("-1", 29, "LT", "NO")]),
+        article("PMC2", "Wobble. Shaking, shaking, shaking. LT.", row=1, entities=[entity("HP:2", 0, "Wobble"), entity("HP:2", 0, "Wobble"), entity("HP:5", 8, "Shaking")]),
+        article("PMC3", "Wobble again; unsteady gait. Floppy limbs.", row=2),
+    ]
+    t = Long(spark, rows)
+    terms = spark.createDataFrame(
+        [("HP:1", "Wobbling", ["Unsteady gait"], [], [], False, None), ("HP:2", "Tremor", ["Unsteady gait", "Shaking"], [], ["HP:11"], False, None), ("HP:5", "Unsteady gait", [], [], [], False, None), ("HP:6", "Old", [], [], [], True, "HP:5")],
+        "identifier string, name string, synonyms array<string>, parents array<string>, alt_ids array<string>, obsolete boolean, replaced_by string",
+    )
+    names = ontology.aliases(terms, tx.normalize_ascii)
+    external = ontology.external_aliases(spark.createDataFrame([("Floppy limbs", "HP:6"), ("xy", "HP:1"), ("Floppy limbs", "HP:99")], "alias string, identifier string"), terms, terms.select("identifier"), tx.normalize_ascii)
+    args = (t.entities, t.passages, terms, names, tx.normalize_ascii, gazetteer.lower_same, external)
+    got = {r["alias"]: (r["identifier"], r["source"]) for r in gazetteer.alias_table(*args).collect()}
+    # shaking: 1 of 3 is too little to be trained, but it names one term; wobble: HP:2 twice; an abbreviation counts positive labels
+    assert got == {"wobble": ("HP:2", "train"), "lt": ("HP:8;HP:2", "train-abbreviation"), "shaking": ("HP:2", "recovered"), "wobbling": ("HP:1", "ontology"), "tremor": ("HP:2", "ontology"), "unsteady gait": ("HP:5", "ontology"), "floppy limbs": ("HP:5", "external")}
+    assert "shaking" not in {r["alias"] for r in gazetteer.alias_table(*args, recovered_precision=None).collect()}
+    assert "unsteady gait" in {r["alias"] for r in gazetteer.alias_table(*args, synonyms=False).collect()}
+    out = {(r["pmc_id"], r["alias"]): (r["identifier"], r["source"], r["n"]) for r in gazetteer.left_out_aliases(*args).collect()}
+    # of PMC1 the two other wobbles, one labelled; of PMC2 the three others; PMC2 alone knows shaking, PMC1 alone the abbreviation
+    assert out == {("PMC1", "wobble"): ("HP:2", "train", 2), ("PMC3", "wobble"): ("HP:2", "train", 1), ("PMC2", "shaking"): ("HP:2", "ontology", 3), ("PMC2", "lt"): ("HP:8;HP:2", "train-abbreviation", 1), ("PMC3", "unsteady gait"): ("HP:5", "ontology", 1), ("PMC3", "floppy limbs"): ("HP:5", "external", 1)}
+    few = gazetteer.occurrences(t.passages, names)
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in gazetteer.occurrences(t.passages, names, most=0).collect()} and few.count() == 4
+
+
+def test_predict_and_partners(spark, tmp_path):
+    docs = [article("PMC1", "She had ataxia. Ataxia again.", ("P1",), [entity("HP:2", 8, "ataxia"), entity("HP:2", 16, "Ataxia")], mentions={"P1": [(0, "She")]}), article("PMC2", "He had ataxia.", ("P1",), row=1, mentions={"P1": [(0, "He")]})]
+    put = lambda name, rows: (tmp_path / name).write_text("\n".join(json.dumps({k: v for k, v in r.items() if k != "article_row"}) for r in rows)) and str(tmp_path / name)
+    both, one = put("both.jsonl", docs), put("one.jsonl", docs[:1])
+    obo = tmp_path / "hp.obo"
+    obo.write_text("\n[Term]\nid: HP:0000118\nname: Top\n\n[Term]\nid: HP:2\nname: Unsteady gait\nis_a: HP:0000118 ! Top\n")
+    base = ["predict", "--articles", both, "--training", both, "--ontology", str(obo), "--output", str(tmp_path / "out")]
+    found = lambda: {r["pmc_id"]: [e["offset"] for e in r["entities"]] for r in files.read_jsonl(spark, str(tmp_path / "out")).collect()}
+    assert cli.main([*base, "--limit", "1"], spark) == 0 and found() == {"PMC1": [8, 16]}
+    assert cli.main([*base, "--resume"], spark) == 0 and found() == {"PMC1": [8, 16], "PMC2": [7]}
+    assert cli.main([*base, "--leave-one-out"], spark) == 0 and found() == {"PMC1": [], "PMC2": [7]}
+    for command in (["vote-associations", "--sources", one], ["augment-associations", "--sources", one]):
+        with pytest.raises(ValueError, match="PMC2"):
+            cli.main([*command, "--articles", both, "--base", both, "--output", str(tmp_path / "x")], spark)
+    with pytest.raises(ValueError, match="PMC2"):
+        cli.main(["stabilize-associations", "--articles", both, "--base", both, "--entities", both, "--additions", one, "--addition-associations", both, "--output", str(tmp_path / "x")], spark)
+    with pytest.raises(ValueError, match="PMC2"):
+        cli.main(["fuse-candidates", "--base", both, "--candidates", one, "--output", str(tmp_path / "x")], spark)
+    from mentionloom.operators import model_io
+
+    model_io.append_cache(spark.createDataFrame([("k", False, "{}")], "key string, cached boolean, reply string"), str(tmp_path / "cache"))
+    discover = ["discover-entities", "--articles", both, "--base", both, "--ontology", str(obo), "--cache", str(tmp_path / "cache"), "--output", str(tmp_path / "d")]
+    assert cli.main(discover, spark) == 0
+    asked = spark.read.json(str(tmp_path / "d.requests")).collect()
+    assert len(asked) == 2
+    replies = spark.createDataFrame([(r["key"], False, '{"entities": [{"passage_index": 0, "start": 9, "text": "had ataxia"}, {"passage_index": 0, "start": 0, "text": "unsteady gait"}') for r in asked], "key string, cached boolean, reply string")
+    model_io.append_cache(replies, str(tmp_path / "cache"))
+    assert cli.main(discover, spark) == 0 and files.read_jsonl(spark, str(tmp_path / "d")).count() == 2
