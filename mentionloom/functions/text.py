@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 # Dash variants that count as a hyphen.
 DASHES = "‐‑‒–—−"
 _TO_HYPHEN = str.maketrans(dict.fromkeys(DASHES, "-"))
-SENTENCE_MARKS = ".!?;\n"
 # Words without an initial in an acronym.
 INITIAL_STOP_WORDS = ("a", "an", "and", "for", "in", "of", "on", "or", "the", "to", "type", "with")
 # Generic ontology names that are no findings.

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from mentionloom.functions import text as tx
 from mentionloom.operators import entity_sets as es
 
+# What an acronym is, and how it stands in brackets after its long form or before it.
 ACRONYM = r"[A-Z][A-Z0-9]*(?:[-/][A-Z0-9]+)*"
+AFTER_LONG_FORM = rf"^\s*\(\s*({ACRONYM})\s*\)"
+BEFORE_LONG_FORM = rf"({ACRONYM})\s*\(\s*$"
 _FIND = regex.compile(rf"(?<![A-Za-z0-9]){ACRONYM}(?![A-Za-z0-9])")
 
 
@@ -21,9 +24,9 @@ def definitions(entities: DataFrame, passages: DataFrame) -> DataFrame:
     end = start + F.col("length")
     text = F.col("p_text")
     e = e.filter(end <= F.length(text))
-    after = F.regexp_extract(tx.slice_text(text, end, end + 24), rf"^\s*\(\s*({ACRONYM})\s*\)", 1)
+    after = F.regexp_extract(tx.slice_text(text, end, end + 24), AFTER_LONG_FORM, 1)
     closes = tx.slice_text(text, end, end + 4).rlike(r"^\s*\)")
-    before = F.when(closes, F.regexp_extract(tx.slice_text(text, F.greatest(start - 24, F.lit(0)), start), rf"({ACRONYM})\s*\(\s*$", 1))
+    before = F.when(closes, F.regexp_extract(tx.slice_text(text, F.greatest(start - 24, F.lit(0)), start), BEFORE_LONG_FORM, 1))
     found = e.withColumn("acronym", F.explode(F.array_compact(F.array(after, before))))
     compact = F.regexp_replace("acronym", "[^A-Z0-9]", "")
     fits = found.filter((F.length(compact) >= 2) & (compact == tx.initials(F.col("text"))))

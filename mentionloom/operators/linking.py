@@ -3,6 +3,10 @@
 The ratio of two strings is twice their longest common subsequence over their summed length; the weighted ratio is the best of
 the plain ratio, the ratio of the sorted words (0.95) and, for lengths that differ by half or more, the best window of the
 longer one (0.9, or 0.6 from eightfold).
+
+A pair is compared if it shares ``SHARED`` of the shorter string's trigrams. Such a pair shares one of the shorter one's
+rarest trigrams, so only those are joined, whatever trigrams all strings have. The share is not implied by the cutoff: the
+best links that it loses are measured against all pairs (see the README).
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from pyspark.sql import types as T
 
 from mentionloom.session import cut
 
+SHARED = 0.4
+
 
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit rows."""
@@ -54,22 +60,55 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substr(padded, i, F.lit(3))))
 
 
-def fuzzy_link(surfaces: DataFrame, alias_ids: DataFrame, cutoff: float = 78.0, shared: float = 0.5) -> DataFrame:
-    """(surface, alias, identifier, score): the best alias at or over the cutoff; aliases of fewer than five characters lose 8 points.
+def _proposed(surfaces: DataFrame, aliases: DataFrame, shared: float) -> DataFrame:
+    """(surface, alias) of the pairs that share enough trigrams, the surface shorter or the alias."""
+    a = surfaces.select(F.col("surface").alias("s"), trigrams(F.col("surface")).alias("g"))
+    b = aliases.select(F.col("alias").alias("s"), trigrams(F.col("alias")).alias("g"))
+    often = a.unionByName(b).select(F.explode("g").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
+    pairs = None
+    for short, long, names in ((a, b, ("surface", "alias")), (b, a, ("alias", "surface"))):
+        ranked = short.select("s", "g", F.explode("g").alias("x")).join(often, "x").withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("df", "x")))
+        rare = ranked.filter(F.col("r") <= F.size("g") - F.ceil(shared * F.size("g")) + 1).select(F.col("s").alias("s1"), F.col("g").alias("g1"), "x")
+        met = rare.join(long.select(F.col("s").alias("s2"), F.col("g").alias("g2"), F.explode("g").alias("x")), "x").filter("size(g1) <= size(g2)").dropDuplicates(["s1", "s2"])
+        near = met.filter(F.size(F.array_intersect("g1", "g2")) >= shared * F.size("g1")).select(F.col("s1").alias(names[0]), F.col("s2").alias(names[1])).select("surface", "alias")
+        pairs = near if pairs is None else pairs.unionByName(near)
+    return pairs.distinct()
 
-    An exact alias scores 100. Others need ``shared`` of the shorter string's trigrams.
-    """
+
+def fuzzy_scores(surfaces: DataFrame, aliases: DataFrame, cutoff: float = 78.0, shared: float = SHARED, most: int = 5) -> DataFrame:
+    """(surface, alias, score): of each surface the ``most`` best aliases that reach the cutoff before aliases of fewer than five characters lose 8 points; an exact alias scores 100."""
     left = surfaces.select("surface").filter("surface <> ''").distinct()
+    near = cut(_proposed(left, aliases.select("alias").distinct(), shared)).repartition(F.col("alias"))  # spread: the ratio is the costly part
+    raw = near.withColumn("raw", F.when(F.col("surface") == F.col("alias"), 100.0).otherwise(score("surface", "alias"))).filter(F.col("raw") >= cutoff)
+    top = raw.withColumn("_r", F.row_number().over(Window.partitionBy("surface").orderBy(F.desc("raw"), "alias"))).filter(F.col("_r") <= most)
+    return top.select("surface", "alias", (F.col("raw") - F.when((F.length("alias") < 5) & (F.col("surface") != F.col("alias")), 8.0).otherwise(0.0)).alias("score"))
+
+
+def fuzzy_link(surfaces: DataFrame, alias_ids: DataFrame, cutoff: float = 78.0, shared: float = SHARED) -> DataFrame:
+    """(surface, alias, identifier, score): the best of the five best aliases, if it still reaches the cutoff."""
     right = cut(alias_ids.select("alias", "identifier"))
-    a = left.select("surface", F.size(trigrams(F.col("surface"))).alias("n"), F.explode(trigrams(F.col("surface"))).alias("g"))
-    b = right.select("alias", F.size(trigrams(F.col("alias"))).alias("m"), F.explode(trigrams(F.col("alias"))).alias("g"))
-    near = a.join(b, "g").groupBy("surface", "alias", "n", "m").agg(F.count("*").alias("k")).filter(F.col("k") >= shared * F.least("n", "m")).select("surface", "alias")
-    near = cut(near).repartition(F.col("alias"))  # spread: the ratio is the costly part
-    scored = near.withColumn("score", F.when(F.col("surface") == F.col("alias"), 100.0).otherwise(score("surface", "alias") - F.when(F.length("alias") < 5, 8.0).otherwise(0.0)))
+    scored = fuzzy_scores(surfaces, right, cutoff, shared)
     best = scored.filter(F.col("score") >= cutoff).withColumn("_r", F.row_number().over(Window.partitionBy("surface").orderBy(F.desc("score"), "alias"))).filter("_r = 1")
     return best.join(right, "alias").select("surface", "alias", "identifier", "score")
 
 
+def link(mentions: DataFrame, alias_ids: DataFrame, cutoff: float = 78.0, shared: float = SHARED) -> DataFrame:
+    """(link_id, alias, identifier, score, exact) of groups of wordings (link_id, ord, surface): the first exact alias in their order, else the best fuzzy one of any of them, earlier wordings first."""
+    right = cut(alias_ids.select("alias", "identifier"))
+    said = mentions.select("link_id", "ord", "surface").filter("surface <> ''")
+    exact = said.join(right.withColumnRenamed("alias", "surface"), "surface").groupBy("link_id").agg(F.min(F.struct("ord", F.col("surface").alias("alias"), "identifier")).alias("b")).select("link_id", "b.alias", "b.identifier", F.lit(100.0).alias("score"), F.lit(True).alias("exact"))
+    rest = said.join(exact, "link_id", "left_anti")
+    scored = rest.join(fuzzy_scores(rest, right, cutoff, shared), "surface").filter(F.col("score") >= cutoff)
+    best = scored.groupBy("link_id").agg(F.min(F.struct((-F.col("score")).alias("col1"), "ord", "alias")).alias("b")).select("link_id", "b.alias", (-F.col("b.col1")).alias("score"))
+    return exact.unionByName(best.join(right, "alias").select("link_id", "alias", "identifier", "score", F.lit(False).alias("exact")))
+
+
+def few_shot_identifiers(findings: DataFrame, alias_ids: DataFrame, cutoff: float = 92.0) -> DataFrame:
+    """(finding_id, identifier) of (finding_id, text, canonical): the exact alias of the text, else a link of text and canonical name; an identifier that a model gave is not looked at."""
+    said = findings.select(F.col("finding_id").alias("link_id"), F.posexplode(F.array("text", "canonical")).alias("ord", "surface")).filter("surface is not null")
+    return link(said, alias_ids, cutoff).select(F.col("link_id").alias("finding_id"), "identifier")
+
+
 def finding_identifiers(findings: DataFrame, alias_rows: DataFrame, resolved: DataFrame, majority: DataFrame, supplied_cutoff: float = 72.0, fuzzy_cutoff: float = 88.0) -> DataFrame:
     """``findings`` (finding_id, text, canonical, supplied; text and canonical normalised) with ``identifier`` and ``how``.
 

@@ -328,6 +328,15 @@ def abbreviation_candidates(t: Tables) -> DataFrame:
     return _ints(abbreviations.abbreviation_candidates(t.entities, t.passages).select(*_OUT), "e_ord")
 
 
+def abbreviations_written_out(t: Tables) -> DataFrame:
+    """The same over a passage for each finding that defines its initials and uses them again: the tables' own texts define none."""
+    short = tx.initials(F.col("text"))
+    said = t.entities.filter(tx.is_positive(F.col("note")) & F.col("text").isNotNull() & (F.length("text") < 400) & short.rlike("^[A-Z][A-Z0-9]+$")).withColumn("offset", (F.col("e_ord") * 1000).cast("int")).withColumn("length", F.length("text"))
+    text = F.concat("text", F.lit(" ("), short, F.lit(") was seen; later "), short, F.lit(" grew."))
+    written = said.select("pmc_id", F.col("e_ord").alias("p_idx"), F.lit("CASE").alias("section"), F.col("offset").alias("p_off"), (F.col("offset") + F.length(text)).alias("p_end"), text.alias("text"))
+    return _ints(abbreviations.abbreviation_candidates(said, written).select(*_OUT), "e_ord")
+
+
 def renested_articles(t: Tables) -> DataFrame:
     nested = src.nest_entities(t.entities).join(src.nest_associations(t.associations, t.patients), "pmc_id", "full")
     return nested.select("pmc_id", F.coalesce(F.size("entities"), F.lit(0)).cast("bigint").alias("n_entities"), F.coalesce(F.get("entities", F.lit(0))["identifier"], F.lit("")).alias("first_identifier"), F.to_json("association").alias("association"))
@@ -337,7 +346,7 @@ _QUERIES = [
     passages, patient_mentions, offset_to_passage, gazetteer_extract, gazetteer_trained, gazetteer_leave_one_out, gazetteer_left_out_mentions, merge_entities, subtract_entities, select_entities, vote_entities, nested_entities, overlap_free_candidates,
     surface_stats, most_common_id, alias_priority, surface_precision, surface_precision_loo, cnn_additions, cnn_fuse, judge_gate, sentence_bounds, negation_flags, proximity_association,
     structural_patients, structure_filter, group_propagation, clip_associations, fuse_patient_count, vote_associations, augment_associations, stabilize_associations, stabilize_structured,
-    evaluate_mention, evaluate_document, evaluate_association, evaluate_score, validate_submission, abbreviation_candidates, ontology_descendants, canonical_ids, resolve_alias, renested_articles,
+    evaluate_mention, evaluate_document, evaluate_association, evaluate_score, validate_submission, abbreviation_candidates, abbreviations_written_out, ontology_descendants, canonical_ids, resolve_alias, renested_articles,
 ]
 
 

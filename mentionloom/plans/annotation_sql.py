@@ -202,6 +202,11 @@ _ABBREVIATION_PARTS = {
     "tok": r"SELECT pmc_id, p_idx, run, coalesce(sum(length(run)) OVER (PARTITION BY pmc_id, p_idx ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT pmc_id, p_idx, i, parts[i+1] AS run FROM (SELECT pmc_id, p_idx, regexp_extract_all(text, '(?s)[A-Za-z0-9]+(?:[-/][A-Z0-9]+)*|.') AS parts FROM psg), unnest(range(len(parts))) t(i))",
     "acr": f"SELECT * FROM tok WHERE regexp_full_match(run, '{_ACR}')",
 }
+_ABBREVIATIONS = f"""SELECT pmc_id, {_E} FROM (SELECT *, {_ORDERED} FROM (SELECT DISTINCT r.pmc_id, d.identifier, CAST(p.p_off + r.start AS INTEGER) AS off, CAST(length(r.run) AS INTEGER) AS len, r.run AS text, CAST(NULL AS VARCHAR) AS note
+            FROM acr r JOIN def d ON d.pmc_id = r.pmc_id AND d.acronym = r.run JOIN psg p ON p.pmc_id = r.pmc_id AND p.p_idx = r.p_idx) c WHERE NOT EXISTS (SELECT 1 FROM ent e WHERE e.pmc_id = c.pmc_id AND e.off = c.off AND e.len = c.len AND e.identifier = c.identifier))"""
+_INITIALS = f"upper(array_to_string(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z]+|[0-9]+'), lambda w: lower(w) NOT IN ({', '.join(repr(w) for w in tx.INITIAL_STOP_WORDS)})), lambda w: CASE WHEN regexp_matches(w, '^[0-9]') THEN w ELSE left(w, 1) END), ''))"
+_WRITTEN_ENT = f"SELECT pmc_id, e_ord, identifier, type, CAST(e_ord * 1000 AS INTEGER) AS off, length(text) AS len, text, note, {_INITIALS} AS ini FROM src WHERE note IS DISTINCT FROM 'NO' AND text IS NOT NULL AND length(text) < 400 AND regexp_full_match({_INITIALS}, '[A-Z][A-Z0-9]+')"
+_WRITTEN_PSG = "SELECT pmc_id, e_ord AS p_idx, 'CASE' AS section, off AS p_off, off + length(text || ' (' || ini || ') was seen; later ' || ini || ' grew.') AS p_end, text || ' (' || ini || ') was seen; later ' || ini || ' grew.' AS text FROM ent"
 _VALIDATE_PARTS = {
     "prd": "SELECT *, row_number() OVER (PARTITION BY pmc_id ORDER BY article_row) AS n FROM articles WHERE pmc_id IS NOT NULL",
     "fnd": "SELECT p.*, d.pmid AS xpmid, coalesce(list_transform(d.patient, lambda x: x.patient_id), []) AS xpat FROM prd p JOIN docs d ON d.pmc_id = p.pmc_id",
@@ -276,8 +281,8 @@ def oracle_sql() -> dict[str, str]:
             a="""SELECT p.pmc_id, '[' || string_agg('{"patient_id":' || to_json(p.patient_id) || ',"phenotype":' || to_json(coalesce(v.ph, [])) || '}', ',' ORDER BY patient_ord) || ']' AS association FROM pat p LEFT JOIN v ON v.pmc_id = p.pmc_id AND v.patient_id = p.patient_id GROUP BY p.pmc_id"""),
         "group_propagation": _with("snt near pat anc ent", _seen("(SELECT pmc_id, patient_id, value, 0 AS part, v_ord AS ord FROM near UNION ALL SELECT s.pmc_id, s.patient_id, s.value, 1, r.o FROM stated s JOIN vo r ON r.pmc_id = s.pmc_id AND r.value = s.value)", "part ord"), **_GROUP_PARTS),
         "stabilize_associations": _with("aso fused adds pat psg", _seen("stab", "source v_ord"), **_STABLE_PARTS),
-        "abbreviation_candidates": _with("loc ent psg", f"""SELECT pmc_id, {_E} FROM (SELECT *, {_ORDERED} FROM (SELECT DISTINCT r.pmc_id, d.identifier, CAST(p.p_off + r.start AS INTEGER) AS off, CAST(length(r.run) AS INTEGER) AS len, r.run AS text, CAST(NULL AS VARCHAR) AS note
-            FROM acr r JOIN def d ON d.pmc_id = r.pmc_id AND d.acronym = r.run JOIN psg p ON p.pmc_id = r.pmc_id AND p.p_idx = r.p_idx) c WHERE NOT EXISTS (SELECT 1 FROM ent e WHERE e.pmc_id = c.pmc_id AND e.off = c.off AND e.len = c.len AND e.identifier = c.identifier))""", **_ABBREVIATION_PARTS),
+        "abbreviation_candidates": _with("loc ent psg", _ABBREVIATIONS, **_ABBREVIATION_PARTS),
+        "abbreviations_written_out": _with("docs", _ABBREVIATIONS, **{"src": _PARTS["ent"], "ent": _WRITTEN_ENT, "psg": _WRITTEN_PSG, "loc": _PARTS["loc"]}, **_ABBREVIATION_PARTS),
         "validate_submission": _with("docs psg", _VALIDATE, **_VALIDATE_PARTS),
         "ontology_descendants": _with("trm", "SELECT identifier FROM reach", recursive=True, edges=f"SELECT DISTINCT identifier, parent FROM (SELECT identifier, {_tidy('p')} AS parent FROM (SELECT identifier, unnest(parents) AS p FROM trm)) WHERE parent IS NOT NULL", reach="SELECT identifier FROM trm WHERE NOT obsolete AND coalesce(len(parents), 0) = 0 UNION SELECT e.identifier FROM edges e JOIN reach r ON e.parent = r.identifier"),
         "canonical_ids": _with("trm prim", "SELECT i.identifier, coalesce(t.replaced_by, p.main, i.identifier) AS canonical FROM (SELECT identifier FROM trm UNION SELECT unnest(alt_ids) FROM trm) i LEFT JOIN prim p ON p.alt = i.identifier LEFT JOIN trm t ON t.identifier = coalesce(p.main, i.identifier) AND t.obsolete AND t.replaced_by IS NOT NULL WHERE i.identifier IS NOT NULL"),
