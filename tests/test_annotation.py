@@ -466,3 +466,105 @@ def test_predict_and_partners(spark, tmp_path):
     replies = spark.createDataFrame([(r["key"], False, '{"entities": [{"passage_index": 0, "start": 9, "text": "had ataxia"}, {"passage_index": 0, "start": 0, "text": "unsteady gait"}') for r in asked], "key string, cached boolean, reply string")
     model_io.append_cache(replies, str(tmp_path / "cache"))
     assert cli.main(discover, spark) == 0 and files.read_jsonl(spark, str(tmp_path / "d")).count() == 2
+
+
+def test_links_against_all_pairs(spark):
+    import random
+
+    r = random.Random(8)
+    words = ["late", "early", "muscle", "weakness", "gait", "unsteady", "spasm", "tremor", "skin", "pale", "short", "stature", "cleft", "palate", "wide", "nose", "low", "tone"]
+    aliases = sorted({" ".join(r.sample(words, r.randint(1, 3))) for _ in range(150)})
+    surfaces = set()
+    for _ in range(120):
+        text = list(r.choice(aliases))
+        for _ in range(r.randint(0, 3)):
+            k = r.randrange(len(text))
+            text[k : k + 1] = r.choice([[], [r.choice("aeinst")], [text[k], r.choice("aeinst")]])
+        surfaces.add("".join(text) if r.random() < 0.8 else " ".join(reversed("".join(text).split())))
+    s = spark.createDataFrame([(x,) for x in surfaces], "surface string")
+    a = spark.createDataFrame([(x, f"HP:{i}") for i, x in enumerate(aliases)], "alias string, identifier string")
+    best = {}
+    for x in surfaces - {""}:
+        scores = [(100.0 if x == y else linking.weighted_ratio(x, y) - 8 * (len(y) < 5)) for y in aliases if x == y or linking.weighted_ratio(x, y) >= 78]
+        if scores and max(scores) >= 78:
+            best[x] = max(scores)
+    got = {r["surface"]: r["score"] for r in linking.fuzzy_link(s, a).collect()}
+    right = sum(abs(got.get(x, 0) - v) < 1e-9 for x, v in best.items())
+    assert len(best) > 80 and right >= 0.97 * len(best) and set(got) <= set(best)
+
+
+def test_wordings_in_order_and_few_shot(spark):
+    a = spark.createDataFrame([("ataxia", "HP:1"), ("muscle weakness", "HP:2"), ("tics", "HP:3")], "alias string, identifier string")
+    rows = [(1, 0, "muscle weaknes"), (1, 1, "ataxia"), (2, 0, "muscle weaknes"), (2, 1, "ataxi"), (3, 0, "ticz"), (4, 0, ""), (5, 0, "ataxia"), (5, 1, "muscle weakness")]
+    got = {r["link_id"]: (r["alias"], r["exact"]) for r in linking.link(spark.createDataFrame(rows, "link_id int, ord int, surface string"), a).collect()}
+    assert got == {1: ("ataxia", True), 2: ("muscle weakness", False), 5: ("ataxia", True)}
+    f = spark.createDataFrame([(1, "zzz", "ataxia"), (2, "muscle weaknesz", ""), (3, "ataxea", None), (4, None, None)], "finding_id int, text string, canonical string")
+    assert {r["finding_id"]: r["identifier"] for r in linking.few_shot_identifiers(f, a).collect()} == {1: "HP:1", 2: "HP:2"}
+
+
+def test_calibration_of_associations(spark):
+    """The best of either label from other articles: shared values first, then the greatest tie value."""
+    from mentionloom.operators import calibration
+
+    t = Long(spark, [article("PMC1", entities=[ATAXIA, LATE], association=[{"patient_id": "P1", "phenotype": ["HP:2"]}, {"patient_id": "P2", "phenotype": []}]), article("PMC2", entities=[ATAXIA, TALL], row=1)])
+    terms = spark.createDataFrame([("HP:2", "Ataxia", None, False, None)], "identifier string, name string, alt_ids array<string>, obsolete boolean, replaced_by string")
+    rows = calibration.association_examples(t.entities, t.passages, t.anchors, t.patients, t.associations, terms)
+    got = {(r["pmc_id"], r["patient_id"], r["value"]): (r["accepted"], r["name"]) for r in rows.collect()}
+    assert got[("PMC1", "P1", "HP:2")] == (1, "Ataxia") and got[("PMC1", "P2", "HP:4")] == (0, "HP:4") and got[("PMC2", "P1", "tall")] == (0, "tall") and len(got) == 10
+    one = rows.filter("pmc_id = 'PMC1' and patient_id = 'P1' and value = 'HP:2'").first()
+    assert one["patient_context"] == "mentions: Patient 1@0; contexts: " + " ".join(TEXT.split()) and one["occurrence_context"].startswith(f"CASE@{ATAXIA['offset']}: Both patients")
+    pool = spark.createDataFrame([(f"PMC{i % 7}", f"v{i % 5}", i % 2, f"{i * 37 % 100:02d}") for i in range(100)], "pmc_id string, value string, accepted int, tie string")
+    batches = spark.createDataFrame([("PMC3", 0, "v1"), ("PMC3", 0, "v2"), ("PMC9", 1, "zz")], "pmc_id string, batch int, value string")
+    chosen = {}
+    for r in calibration.select_examples(batches, pool, 3).orderBy("pmc_id", "accepted", "rank_no").collect():
+        chosen.setdefault((r["pmc_id"], r["accepted"]), []).append(r["tie"])
+    every = pool.distinct().collect()
+    for (pmc, label), ties in chosen.items():
+        values = {b for a, _, b in [tuple(x) for x in batches.collect()] if a == pmc}
+        best = sorted(((x["value"] in values, x["tie"]) for x in every if x["pmc_id"] != pmc and x["accepted"] == label), reverse=True)[:3]
+        assert ties == [t for _, t in best]
+
+
+def test_dense_articles_by_plain_comparison(spark):
+    """Nearest patients and structure over random articles, against looking at every pair."""
+    import random
+
+    r = random.Random(11)
+    docs = []
+    for k in range(6):
+        texts = [" ".join(r.choice(["aa", "bbb.", "cc", "dd;", "e"]) for _ in range(r.randint(5, 60))) for _ in range(4)]
+        offsets = [sum(len(t) + 3 for t in texts[:i]) for i in range(4)]
+        end = offsets[-1] + len(texts[-1])
+        doc = article(f"PMC{k}", patients=("P1", "P2", "P3"), row=k, mentions={p: [(r.randint(0, end + 20), "x") for _ in range(r.randint(0, 4))] for p in ("P1", "P2", "P3")}, entities=[entity(f"HP:{i}", r.randint(0, end - 2), "aa") for i in range(12)])
+        doc["full_text"] = [{"section_type": "A", "offset": o, "text": t} for o, t in zip(offsets, texts, strict=True)]
+        docs.append(doc)
+    t = Long(spark, docs)
+    want, near = set(), {}
+    for d in docs:
+        spans = [(p["offset"], p["offset"] + len(p["text"]), p["text"]) for p in d["full_text"]]
+        place = lambda o, spans=spans: next((i for i, (a, b, _) in enumerate(spans) if a <= o < b), None)
+        anchors = [(m["offset"], pi, mi, p["patient_id"]) for pi, p in enumerate(d["patient"]) for mi, m in enumerate(p["mention"])]
+        for i, e in enumerate(d["entities"]):
+            at = place(e["offset"])
+            if at is None:
+                continue
+            a, _, text = spans[at]
+            start = e["offset"] - a
+            s0 = max(text.rfind(c, 0, start) for c in ".!?;\n") + 1
+            ends = [j for j in (text.find(c, start + 2) for c in ".!?;\n") if j >= 0]
+            s1 = min(ends) + 1 if ends else len(text)
+            here = [x for x in anchors if place(x[0]) == at]
+            chosen = {x[3] for x in here if a + s0 <= x[0] < a + s1} or {x[3] for x in here}
+            if not chosen:
+                prev, nxt = max((x for x in anchors if x[0] <= e["offset"]), default=None), min((x for x in anchors if x[0] > e["offset"]), default=None)
+                chosen = {x[3] for x in (prev if prev and e["offset"] - prev[0] <= 50 else None, nxt if nxt and nxt[0] - e["offset"] <= 30 else None) if x}
+            want |= {(d["pmc_id"], i, p) for p in chosen}
+            inside, over = min(((abs(e["offset"] - x[0]), x[3]) for x in here), default=None), min(((abs(e["offset"] - x[0]), x[3]) for x in anchors), default=None)
+            who = (inside[1] if inside[0] <= 40 else None) if inside else over[1] if over and over[0] <= 60 else None
+            if who:
+                near.setdefault((d["pmc_id"], who), set()).add(e["identifier"])
+    assert {tuple(x) for x in structure.structural_patients(t.entities, t.passages, t.anchors, 50, 30).select("pmc_id", "e_ord", "patient_id").collect()} == want
+    got = {}
+    for x in structure.by_proximity(t.entities, t.passages, t.anchors, t.patients, 40, 60).collect():
+        got.setdefault((x["pmc_id"], x["patient_id"]), set()).add(x["value"])
+    assert got == near
