@@ -35,11 +35,16 @@ SHARES = 16
 
 def _places(texts: list[str], hasher: Hasher, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, n-gram, place) of all n-grams; a text of fewer words is one n-gram."""
-    owner, found, place = [], [], []
-    for i, t in enumerate(texts):
-        g = grams(hasher(tokens(t)), n)
-        owner.append(np.full(len(g), i)), found.append(g), place.append(np.arange(len(g)))
-    return tuple(np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (owner, found, place))
+    ids = [hasher(tokens(t)) for t in texts]
+    size = np.array([len(x) for x in ids], np.int64)
+    owner = np.repeat(np.arange(len(ids)), size)
+    start = np.cumsum(size) - size
+    every = np.concatenate(ids) if ids else np.empty(0, np.int64)
+    found = grams(every, n) if len(every) >= n else np.empty(0, np.int64)
+    at = np.flatnonzero(owner[: len(found)] == owner[n - 1 :][: len(found)])
+    small = np.flatnonzero((size > 0) & (size < n))
+    whole = np.array([grams(ids[i], n)[0] for i in small], np.int64)
+    return np.concatenate((owner[at], small)), np.concatenate((found[at], whole)), np.concatenate((at - start[owner[at]], np.zeros(len(small), np.int64)))
 
 
 def _grams_of(rows: DataFrame, key: str, n: int, wanted: np.ndarray | None = None) -> DataFrame:
@@ -84,8 +89,12 @@ def candidates(documents: DataFrame, items: DataFrame, n: int = GRAM, broadcast:
     """(doc_id, item_id, places): documents that share enough seeds with an item, and where."""
     item_grams = cut(_grams_of(items, "item_id", n).select("item_id", "gram").distinct())
     found = cut(hits(documents, item_grams, n, broadcast))
-    spread = seeds(item_grams, found).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    met = found.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int")).join(spread, ["gram", "part"])
+    chosen = seeds(item_grams, found)
+    if item_grams.count() <= broadcast:  # seeds are no more than that
+        met = found.join(F.broadcast(chosen), "gram")
+    else:
+        spread = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        met = found.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int")).join(spread, ["gram", "part"])
     shared = met.groupBy("doc_id", "item_id", "n_seeds").agg(F.countDistinct("gram").alias("n"), F.flatten(F.collect_list("places")).alias("places"))
     return shared.filter(F.col("n") >= F.greatest(F.least(F.lit(2), F.col("n_seeds")), SEED_SHARE * F.col("n_seeds"))).select("doc_id", "item_id", "places")
 

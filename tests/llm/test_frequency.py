@@ -64,7 +64,7 @@ def test_a_term_of_every_row_takes_the_space_of_one_bitmap():
 
     r = np.random.default_rng(3)
     tracemalloc.start()
-    rows = [b for b in frequency._cardinality(postings(1000, lambda task: np.arange(task * 4000, task * 4000 + 4000) if task % 2 else np.unique(r.integers(0, 1 << 22, 200_000))))]
+    rows = [b for b in frequency._cardinality(postings(1000, lambda task: np.arange(task * 4000, task * 4000 + 4000) if task % 2 else np.unique(r.integers(0, 1 << 22, 20_000))))]
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(rows) == 1 and rows[0].num_rows == 1 and 3_900_000 < rows[0].column(2)[0].as_py() < (1 << 22) + 2001 and peak < 150_000_000
