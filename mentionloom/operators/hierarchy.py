@@ -76,11 +76,10 @@ def live_successors(latest: DataFrame) -> DataFrame:
 def live_edges(terms: DataFrame) -> DataFrame:
     """(identifier, parents): every live term with the sorted live terms that its parent entries stand for."""
     latest = cut(latest_terms(terms))
-    alive = latest.filter(~F.col("dead")).select("identifier")
-    entries = latest.filter(~F.col("dead")).select("identifier", F.explode("parents").alias("p")).select("identifier", tidy_id(F.col("p")).alias("p")).filter("p is not null").distinct()
+    alive = latest.filter(~F.col("dead"))
+    entries = alive.select("identifier", F.explode_outer("parents").alias("p")).select("identifier", tidy_id(F.col("p")).alias("p"))
     stands_for = alive.select(F.col("identifier").alias("p"), F.col("identifier").alias("parent")).unionByName(live_successors(latest).select(F.col("dead").alias("p"), F.col("alive").alias("parent")))
-    parents = entries.join(stands_for, "p").groupBy("identifier").agg(F.sort_array(F.collect_set("parent")).alias("parents"))
-    return alive.join(parents, "identifier", "left").select("identifier", F.coalesce("parents", F.array().cast("array<string>")).alias("parents"))
+    return entries.join(stands_for, "p", "left").groupBy("identifier").agg(F.sort_array(F.collect_set("parent")).alias("parents"))
 
 
 def _contract(batches):
@@ -269,12 +268,13 @@ def hierarchy(edges: DataFrame, block_rows: int = BLOCK_ROWS, solve_rows: int =
     on_chain = lambda exit_, chain: F.concat(F.array(exit_), F.filter(F.split(chain, ">"), lambda x: x != ""))
     below = fragments.select(F.explode(on_chain("exit", "chain")).alias("identifier")).groupBy("identifier").agg(F.count("*").alias("below"))
     # terms with exits hanging below them: the parent of the exit and everything over it in its chain
+    sizes = cut(fragments.groupBy("exit").agg(F.count("*").alias("size")))
     direct = graph.select(F.col("node").alias("exit"), F.explode("parents").alias("p")).select("exit", F.col("p.id").alias("own"), F.explode(on_chain("p.id", "p.label")).alias("identifier"))
-    further = direct.join(reach.withColumnRenamed("from_exit", "exit"), "exit").select("identifier", "own", F.col("to_exit").alias("exit"))
-    sizes = fragments.groupBy("exit").agg(F.count("*").alias("size"))
-    hanging = direct.select("identifier", "own", "exit").unionByName(further).distinct().join(sizes, "exit").groupBy("identifier").agg(F.sum(F.when(F.col("exit") != F.col("own"), F.col("size")).otherwise(0)).alias("others"), F.max((F.col("exit") == F.col("own")).cast("int")).alias("looped"))
+    under = reach.unionByName(graph.select(F.col("node").alias("from_exit"), F.col("node").alias("to_exit"))).join(sizes.withColumnRenamed("exit", "to_exit"), "to_exit")
+    hanging = direct.join(under.withColumnRenamed("from_exit", "exit"), "exit").select("identifier", "own", "to_exit", "size").distinct()
+    hanging = hanging.groupBy("identifier").agg(F.sum(F.when(F.col("to_exit") != F.col("own"), F.col("size")).otherwise(0)).alias("others"), F.max((F.col("to_exit") == F.col("own")).cast("int")).alias("looped"))
 
-    rows = fragments.join(below, "identifier").join(best.withColumnRenamed("depth", "_depth"), "exit", "left").join(hanging, "identifier", "left").join(sizes, "exit")
+    rows = fragments.join(below, "identifier").join(hanging, "identifier", "left").join(sizes.join(best.withColumnRenamed("depth", "_depth"), "exit", "left"), "exit")
     looped = F.coalesce("looped", F.lit(0))
     path = F.concat(F.expr("substring(path, 1, length(path) - 1)"), "chain")
     return rows.select(
