@@ -124,6 +124,27 @@ def best_end(item: np.ndarray, doc: np.ndarray, match: int = 2, miss: int = 1, g
     return best[0] >> 32, best[0] & 0xFFFFFFFF, best[1], best[2]
 
 
+def best_ends(items: list[np.ndarray], docs: list[np.ndarray], match: int = 2, miss: int = 1, gap: int = 1) -> np.ndarray:
+    """Matching words of the best local alignment of each pair: ``best_end`` for many pairs at once, shorter ones filled up with what matches nothing."""
+    m, n = max(map(len, items)), max(map(len, docs))
+    words, texts = np.zeros((len(items), m), np.int64), np.zeros((len(docs), n), np.int64)
+    inside, there = np.zeros((len(items), m), bool), np.zeros((len(docs), n), bool)
+    for k, (a, b) in enumerate(zip(items, docs, strict=True)):
+        words[k, : len(a)], inside[k, : len(a)] = a, True
+        texts[k, : len(b)], there[k, : len(b)] = b, True
+    step = gap * _ONE * np.arange(n + 1)
+    row, t = np.zeros((len(docs), n + 1), np.int64), np.zeros((len(docs), n + 1), np.int64)
+    best = np.zeros(len(docs), np.int64)
+    for i in range(m):
+        same = (texts == words[:, i : i + 1]) & there & inside[:, i : i + 1]
+        np.maximum(row[:, :-1] + np.where(same, match * _ONE + 1, -miss * _ONE), row[:, 1:] - gap * _ONE, out=t[:, 1:])
+        t *= t >= _ONE
+        row = np.maximum.accumulate(t + step, axis=1) - step
+        row *= row >= _ONE
+        best = np.maximum(best, row.max(axis=1))
+    return best & 0xFFFFFFFF
+
+
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int, int]:
     """Best local alignment: (matching words, item from, item to, doc from, doc to), ends exclusive."""
     score, matched, i, j = best_end(item, doc)
@@ -168,6 +189,17 @@ def held_in_windows(item: np.ndarray, doc: np.ndarray, places: np.ndarray, enoug
     return best
 
 
+def _batches_of(rows: list[tuple], cells: int = 30_000):
+    """Windows of like length that are aligned at once."""
+    start = 0
+    while start < len(rows):
+        end = start + 1
+        while end < len(rows) and (end + 1 - start) * len(rows[end][3]) <= cells:
+            end += 1
+        yield rows[start:end]
+        start = end
+
+
 def leaked(documents: DataFrame, items: DataFrame, n: int = GRAM, share: float = SHARE, broadcast: int = BROADCAST_GRAMS) -> DataFrame:
     """(doc_id, item_id, held) of every document that holds at least ``share`` of an item's wording; ``held`` is what was found of it when that was reached."""
     pairs = candidates(documents, items, n, broadcast)
@@ -181,9 +213,14 @@ def leaked(documents: DataFrame, items: DataFrame, n: int = GRAM, share: float =
             rows = []
             for i in range(batch.num_rows):
                 doc, doc_id = hasher(tokens(batch.column(1)[i].as_py())), batch.column(0)[i].as_py()
-                for a in batch.column(2)[i].as_py():
-                    rows.append((doc_id, a["item_id"], held_in_windows(hasher(tokens(a["item_text"])), doc, np.array(a["places"], np.int64), share)))
-            ids, item_ids, held = zip(*rows, strict=True) if rows else ((), (), ())
+                asked = [(a["item_id"], hasher(tokens(a["item_text"])), np.array(a["places"], np.int64)) for a in batch.column(2)[i].as_py()]
+                rows += [(doc_id, item_id, item, doc[a:b]) for item_id, item, places in asked for a, b in windows(places, len(item), len(doc))]
+            rows.sort(key=lambda r: (len(r[3]), len(r[2])))
+            held = []
+            for part in _batches_of(rows):
+                for (_, _, item, doc), matched in zip(part, best_ends([r[2] for r in part], [r[3] for r in part]), strict=True):
+                    held.append(matched / len(item) if matched >= share * len(item) else held_share(item, doc, share))
+            ids, item_ids = [r[0] for r in rows], [r[1] for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(item_ids, pa.int64()), pa.array(held, pa.float64())], names=["doc_id", "item_id", "held"])
 
     aligned = both.mapInArrow(run, "doc_id bigint, item_id bigint, held double")

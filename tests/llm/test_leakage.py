@@ -85,3 +85,9 @@ def test_joined_grams_give_the_same(spark):
     i = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(make(8, 40)))], "item_id bigint, text string")
     got = [{(r["doc_id"], r["item_id"]) for r in L.leaked(d, i, broadcast=b).collect()} for b in (10**6, 0)]
     assert got[0] == got[1] == {(k, 1) for k in range(1, 20, 2)}
+
+
+def test_many_alignments_at_once():
+    r = np.random.default_rng(9)
+    items, docs = [[r.integers(0, 4, int(r.integers(1, most))) for _ in range(50)] for most in (12, 40)]
+    assert L.best_ends(items, docs).tolist() == [L.best_end(a, b)[1] for a, b in zip(items, docs, strict=True)]
