@@ -15,6 +15,9 @@ _SPLIT_WORD = regex.compile(r"(?<=\p{L})[-‐­]\s*\n[>\s]*(?=\p{Ll})")
 _INVISIBLE = regex.compile(r"[\p{Cf}­]")
 _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[^\W_\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+")
 _ASCII_TOKEN = re.compile(r"[a-z0-9]+")
+_SPACED_TOKEN = re.compile(r"[^\W_]+")
+# Greek and Cyrillic letters; whatever is not of a European alphabet or plain punctuation
+_LATIN, _OTHER, _FAR = re.compile("[a-z\u00df-\u024f\u1e00-\u1eff]"), re.compile("[\u0370-\u052f\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f]"), re.compile("[\u0590-\u1fff\u2c00-\U0010ffff]")
 _MARKS = regex.compile(r"\p{Mn}+")
 _MIXED = regex.compile(r"(?=[^\W\d_]*\p{Latin})(?=[^\W\d_]*[\p{Cyrillic}\p{Greek}])[^\W_]+")
 # Letters of other scripts that look like Latin ones.
@@ -33,8 +36,10 @@ def tokens(text: str | None) -> list[str]:
         text = _SPLIT_WORD.sub("", text)
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower()
-        text = _MIXED.sub(lambda m: m[0].translate(_LOOKALIKES), text)
-        return _TOKEN.findall(_MARKS.sub("", unicodedata.normalize("NFD", text)))
+        if _LATIN.search(text) and _OTHER.search(text):
+            text = _MIXED.sub(lambda m: m[0].translate(_LOOKALIKES), text)
+        text = _MARKS.sub("", unicodedata.normalize("NFD", text))
+        return (_TOKEN if _FAR.search(text) else _SPACED_TOKEN).findall(text)
     return _ASCII_TOKEN.findall(text.lower())
 
 
