@@ -33,7 +33,7 @@ def descendants(terms: DataFrame, root: str | DataFrame) -> DataFrame:
         fresh = cut(below.join(known, "identifier", "left_anti"))
         if fresh.isEmpty():
             return known
-        known = cut(known.unionByName(fresh))
+        known = known.unionByName(fresh)  # of written tables, one for each level
 
 
 def canonical(ids: DataFrame, terms: DataFrame, column: str = "identifier") -> DataFrame:
