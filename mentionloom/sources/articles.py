@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 
 def latest_articles(articles: DataFrame, order: str = "article_row") -> DataFrame:
+    """The last row of each article. The number of partitions is given, so that what works on texts afterwards is not left with the few that their bytes would fill."""
     w = Window.partitionBy("pmc_id").orderBy(F.col(order).desc())
-    return articles.filter("pmc_id is not null").withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    parts = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return articles.filter("pmc_id is not null").repartition(parts, "pmc_id").withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
 def passages(docs: DataFrame) -> DataFrame:
