@@ -493,6 +493,36 @@ def test_links_against_all_pairs(spark):
     assert len(best) > 80 and right >= 0.97 * len(best) and set(got) <= set(best)
 
 
+def test_links_hold_no_pairs(spark):
+    """Strings that nearly all share their trigrams: no more than the tables and the best links is written, in blocks of any size the same."""
+    import random
+    from pathlib import Path
+
+    r = random.Random(9)
+    aliases = [f"{a} {b} {c} of the {d} side" for a in ("mild", "focal", "marked") for b in ("tibial", "spinal", "dermal", "aortic") for c in ("atrophy", "spasm", "laxity", "cysts", "opacity") for d in ("left", "right", "inner", "outer")] + ["tics", "a" * 90, "ÄÖ 页面", "\U0001d518x"]
+    surfaces = ["ticz", "a" * 89, "ÄÖ 页 面", "\U0001d518 x", ""]
+    for _ in range(400):
+        text = list(r.choice(aliases))
+        for _ in range(r.randint(0, 4)):
+            text[r.randrange(len(text))] = r.choice("aeinst ")
+        surfaces.append("".join(text)[r.choice((0, 0, 9)) :])
+    s = spark.createDataFrame([(x,) for x in surfaces], "surface string").repartition(2)
+    a = spark.createDataFrame([(x,) for x in aliases], "alias string").repartition(2)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    written = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    grams = lambda t: {f" {t} "[i : i + 3] for i in range(len(t))}
+    before = written()
+    got = linking.fuzzy_scores(s, a, most=2).collect()
+    assert written() - before < 250_000
+    best = {}
+    for x in set(surfaces) - {""}:
+        rows = [(100.0 if x == y else linking.weighted_ratio(x, y), y) for y in aliases if len(grams(x) & grams(y)) >= 0.4 * min(len(grams(x)), len(grams(y)))]
+        best[x] = {(y, v - 8 * (len(y) < 5 and x != y)) for v, y in sorted((p for p in rows if p[0] >= 78), key=lambda p: (-p[0], p[1]))[:2]}
+    assert len(got) > 300
+    for rows in (got, linking.fuzzy_scores(s, a, most=2, block=900, part=3000).collect()):
+        assert {x: {(t["alias"], t["score"]) for t in rows if t["surface"] == x} for x in best} == best
+
+
 def test_wordings_in_order_and_few_shot(spark):
     a = spark.createDataFrame([("ataxia", "HP:1"), ("muscle weakness", "HP:2"), ("tics", "HP:3")], "alias string, identifier string")
     rows = [(1, 0, "muscle weaknes"), (1, 1, "ataxia"), (2, 0, "muscle weaknes"), (2, 1, "ataxi"), (3, 0, "ticz"), (4, 0, ""), (5, 0, "ataxia"), (5, 1, "muscle weakness")]
