@@ -523,6 +523,22 @@ def test_links_hold_no_pairs(spark):
         assert {x: {(t["alias"], t["score"]) for t in rows if t["surface"] == x} for x in best} == best
 
 
+def test_findings_hold_no_pairs(spark):
+    """Texts that nearly all share their trigrams leave no more than the findings and their links in the shared folder; findings of like columns are joined with null ids too."""
+    from pathlib import Path
+
+    aliases = [f"{a} {b} {c} of the {d} side" for a in ("mild", "focal", "marked") for b in ("tibial", "spinal", "dermal", "aortic") for c in ("atrophy", "spasm", "laxity", "cysts", "opacity") for d in ("left", "right", "inner", "outer")]
+    rows = [(4 * i + k, x[:k] + "z" + x[k + 1 :], "", None if k else "HP:9999") for i, x in enumerate(aliases) for k in range(4)] + [(-1, aliases[0], aliases[1], None), (-2, aliases[0], aliases[1], "HP:1"), (-3, "?", "", None)]
+    f = spark.createDataFrame(rows, "finding_id int, text string, canonical string, supplied string").repartition(2)
+    a = spark.createDataFrame([(x, f"HP:{i}") for i, x in enumerate(aliases)], "alias string, identifier string").repartition(2)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    written = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = written()
+    got = {r["finding_id"]: (r["identifier"], r["how"]) for r in linking.finding_identifiers(f, a, a, a.limit(0).select(a["alias"].alias("surface"), "identifier")).collect()}
+    assert written() - before < 1_000_000
+    assert got == {**{4 * i + k: (f"HP:{i}", "fuzzy") for i in range(len(aliases)) for k in range(4)}, -1: ("HP:0", "exact"), -2: ("HP:1", "supplied"), -3: (None, None)}
+
+
 def test_wordings_in_order_and_few_shot(spark):
     a = spark.createDataFrame([("ataxia", "HP:1"), ("muscle weakness", "HP:2"), ("tics", "HP:3")], "alias string, identifier string")
     rows = [(1, 0, "muscle weaknes"), (1, 1, "ataxia"), (2, 0, "muscle weaknes"), (2, 1, "ataxi"), (3, 0, "ticz"), (4, 0, ""), (5, 0, "ataxia"), (5, 1, "muscle weakness")]
