@@ -295,26 +295,39 @@ _TRACE = "doc_id bigint, kind string, key bigint, slot int, name string, unit bi
 
 
 def _traces(batches, pairs: np.ndarray, words: np.ndarray, blocks: int, first: bool):
-    """Rows of what is residue, or would be if the tables joined later bear it out. Units need only their share of one block."""
+    """Rows of what is residue, or would be if the tables joined later bear it out. Of several blocks every hit counts, since only all together say whether a unit has its share.
+
+    A unit is numbered within its text, and the text by its print, so that the passes agree however the rows are dealt."""
     known = _Numbers()
+    enough = lambda hits, n, share: (hits > 0) & ((hits >= share * n) | (blocks > 1))
     for batch in _portions(batches):
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         rows: list[tuple] = []
         p = _Pieces(texts, known)
+        prints: dict[int, int] = {}
+
+        def found(kind, name, u, n, hits, of, begin, ids=ids, texts=texts, prints=prints, rows=rows):
+            d = int(of[u])
+            if d not in prints:
+                prints[d] = _hash(texts[d])
+            rows.append((ids[d], kind, prints[d], None, name, int(u - begin[d]), int(n[u]), int(hits[u])))
+
         in_pairs, in_words = _held(p.pair, pairs), _held(p.word, words)
         for name, unit in (("line", p.line), ("sentence", p.sentence)):
             top = int(unit[-1]) + 1 if len(unit) else 0
             size = np.bincount(unit, minlength=top)
             of = np.zeros(top, np.int64)
             of[unit] = p.owner
+            begin = np.zeros(len(texts), np.int64)
+            begin[p.owner[::-1]] = unit[::-1]
             inside = unit[:-1] == unit[1:]
             n = np.bincount(unit[:-1][inside], minlength=top)
             hits = np.bincount(unit[:-1][inside & in_pairs], minlength=top)
-            for u in np.flatnonzero((n >= LEAST_PAIRS) & (hits > 0) & (hits * blocks >= TEMPLATE_SHARE * n)):
-                rows.append((ids[of[u]], "pair", None, None, name, int(u), int(n[u]), int(hits[u])))
+            for u in np.flatnonzero((n >= LEAST_PAIRS) & enough(hits, n, TEMPLATE_SHARE)):
+                found("pair", name, u, n, hits, of, begin)
             hits = np.bincount(unit[in_words], minlength=top)
-            for u in np.flatnonzero(((size >= 4) | (size == 2)) & (hits > 0) & (hits * blocks >= FILLER_SHARE * size)):
-                rows.append((ids[of[u]], "word", None, None, name, int(u), int(size[u]), int(hits[u])))
+            for u in np.flatnonzero(((size >= 4) | (size == 2)) & enough(hits, size, FILLER_SHARE)):
+                found("word", name, u, size, hits, of, begin)
             if first and name == "sentence":
                 for u in np.flatnonzero(_same_over_and_over(p, unit, size)):
                     rows.append((ids[of[u]], "sure", None, None, None, None, None, None))
@@ -349,7 +362,7 @@ def find_residue(documents: DataFrame, block: int = BLOCK) -> DataFrame:
         one = read.mapInArrow(run, _TRACE).withColumn("block", F.lit(b))
         traces = one if traces is None else traces.unionByName(one)
     traces = cut(traces)
-    whole = traces.filter("kind IN ('pair', 'word')").groupBy("doc_id", "kind", "name", "unit", "n", "block").agg(F.max("hits").alias("hits")).groupBy("doc_id", "kind", "name", "unit", "n").agg(F.sum("hits").alias("hits"))
+    whole = traces.filter("kind IN ('pair', 'word')").groupBy("doc_id", "kind", "key", "name", "unit", "n", "block").agg(F.max("hits").alias("hits")).groupBy("doc_id", "kind", "key", "name", "unit", "n").agg(F.sum("hits").alias("hits"))
     made = whole.filter(f"hits >= CASE kind WHEN 'pair' THEN {TEMPLATE_SHARE} ELSE {FILLER_SHARE} END * n")
     aligned = traces.join(induced(counts), ["key", "slot"], "left_semi").filter("kind IN ('strong', 'blank')")
     named = traces.filter("kind IN ('strong', 'plain')").join(variable_names(counts), "name", "left_semi")

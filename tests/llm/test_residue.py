@@ -66,6 +66,36 @@ def test_repeated_pages(spark, block):
     assert got == set(range(len(pages) + len(cut_off)))
 
 
+def test_blocks_of_any_size_find_the_same(spark):
+    """Units that barely have their share of pairs or filler, and units that barely lack it, however the learned numbers fall into blocks and the rows into batches."""
+    words = [[f"w{k}{chr(97 + i)}{chr(97 + i)}" for i in range(11)] for k in "abcdefghij"]
+    latin = ["lorem", "ipsum", "sitra", "ametur", "vitae", "orcan", "elitra", "dolent", "ullam", "quist"]
+    letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    rows, case = [], set()
+
+    def put(text, is_case):
+        rows.append((len(rows), text))
+        if is_case:
+            case.add(len(rows) - 1)
+
+    for k in range(10):
+        for i in range(4):
+            put(" ".join([*words[k], f"teach{letters(k)}x{letters(i)}"]), True)
+    for i in range(20):
+        put(" ".join(latin[(i + j) % 10] for j in range(12)) + ".", True)
+    for k in range(10):
+        for has in (7, 8):  # pairs of 12: seven are too few
+            own = [f"own{letters(len(rows))}x{letters(i)}" for i in range(12 - has)]
+            put(f"{GOOD}\n" * 6 + " ".join([*words[k][: has + 1], *own]), has == 8)
+    for k in range(10):
+        for has in (6, 7):  # words of 10: six are too few
+            put(f"{GOOD}\n" * 6 + " ".join([*(latin[2:] * 3)[k : k + has], *(f"own{letters(len(rows))}x{letters(i)}" for i in range(10 - has))]), has == 7)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (1_000_000, 60, 23, 7):
+        got = {r[0] for r in R.find_residue(df.repartition(3), block=block).collect()}
+        assert (block, got - case, case - got) == (block, set(), set())
+
+
 def test_long_messages(spark):
     long = "The reader could not open what you asked for " + "and tried again " * 40
     teach = [f"The reader could not open what you asked for and tried again {w}" for w in ("", "and again", "and tried again", "and tried again now")]
