@@ -523,6 +523,45 @@ def test_links_hold_no_pairs(spark):
         assert {x: {(t["alias"], t["score"]) for t in rows if t["surface"] == x} for x in best} == best
 
 
+def test_every_pair_that_reaches_the_cutoff_is_found(spark):
+    """Few shared trigrams, changed blanks, strings of many words of bits, more than five short aliases before the best one: as by comparing all pairs."""
+    import random
+
+    r = random.Random(10)
+    words = ["late", "muscle", "weakness", "gait", "spasm", "skin", "of", "the", "ßtraße", "页面", "\U0001d518x"]
+    phrase = lambda: "".join(r.choice(words) + r.choice([" "] * 20 + ["  ", "\t"]) for _ in range(r.choice((1, 2, 3, 5, 9, 16, 30))))
+    crowd = ["gait", "aits", "gats", "gais", "gits", "gaitxys"]
+    aliases = sorted({x if r.random() < 0.05 else x.strip() for x in (phrase() for _ in range(150))} | {"feuer", "mikrocefaly", " ", "\t", "a" * 65, "ab" * 64, "tics", *crowd})
+    surfaces = {"fever", "microcephaly", "   ", "a" * 90, "ab" * 60, "tic", "gaits"}
+    for _ in range(90):
+        text = list(r.choice(aliases))
+        for _ in range(r.choice((0, 1, 2, 4, 8))):
+            k = r.randrange(len(text))
+            text[k : k + 1] = r.choice([[r.choice("aeins ")], [text[k], r.choice("aeins ")]])
+        text = "".join(text)[r.choice((0, 0, 0, 5)) :]
+        surfaces.add(" ".join(reversed(text.split())) if r.random() < 0.3 else text)
+
+    def plain(x, y):
+        a, b = sorted((x, y), key=len)
+        best = max(linking.ratio(a, b), 0.95 * linking.ratio(*(" ".join(sorted(t.split())) for t in (a, b))))
+        if len(b) >= 1.5 * len(a) and linking.common_length(a, b) >= 0.8 * len(a):
+            best = max(best, (0.6 if len(b) >= 8 * len(a) else 0.9) * max(linking.ratio(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1)))
+        return best - 8 * (len(y) < 5 and x != y)
+
+    s = spark.createDataFrame([(x,) for x in surfaces], "surface string")
+    a = spark.createDataFrame([(x, f"HP:{i}") for i, x in enumerate(aliases)], "alias string, identifier string")
+    pairs = {(x, y): v for x in surfaces - {""} for y in aliases if (v := plain(x, y)) >= 78}
+    assert {("fever", "feuer"), ("microcephaly", "mikrocefaly"), ("   ", " ")} <= set(pairs) and len(pairs) > 150
+    for size in ({}, {"block": 700, "part": 900}):
+        assert {(t["surface"], t["alias"]): t["score"] for t in linking.fuzzy_scores(s, a, most=1000, **size).collect()} == pairs
+    best = {x: min((-v, y) for (z, y), v in pairs.items() if z == x) for x, _ in pairs}
+    got = {t["surface"]: (-t["score"], t["alias"]) for t in linking.fuzzy_link(s, a).collect()}
+    assert got == best | {x: (-100.0, x) for x in surfaces & set(aliases)}
+    assert best["gaits"][1] == "gaitxys"
+    mentions = spark.createDataFrame([(1, 0, "zzz"), (1, 1, "gaits"), (2, 0, "fever"), (3, 0, "zzz")], "link_id int, ord int, surface string")
+    assert {t["link_id"]: t["alias"] for t in linking.link(mentions, a).collect()} == {1: "gaitxys", 2: "feuer"}
+
+
 def test_findings_hold_no_pairs(spark):
     """Texts that nearly all share their trigrams leave no more than the findings and their links in the shared folder; findings of like columns are joined with null ids too."""
     from pathlib import Path
